@@ -3,75 +3,74 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import scale
 from tidemark.functions import fixed, names
 
 BACKUP_THINGS = ("sentinel", "version", "volume")
 WAL_THINGS = ("segment", "label")
 DELETABLE = BACKUP_THINGS + WAL_THINGS
 
+# One pattern per class over the key below its path prefix. The fixed name patterns are anchored at the
+# start of a path part only, so any further text up to the next slash is accepted.
+_BASE = "^" + fixed.BASE_AREA + fixed.CURRENT_VERSION + "/"
+_WAL = "^" + fixed.WAL_AREA + fixed.CURRENT_VERSION + "/"
+_END = "[^/]*\\z"
 
-def area(key, path_prefix, version=fixed.CURRENT_VERSION) -> Column:
-    """'base' or 'wal' for keys in one of the two listed directories, else null."""
-    k = names.col(key)
-    return F.when(k.startswith(names.backups_dir(path_prefix, version)), "base").when(
-        k.startswith(names.wal_dir(path_prefix, version)), "wal"
-    )
+
+def _below(area: str, name: str) -> str:
+    return area + name.removeprefix("^")
 
 
-def relative_key(key, path_prefix, key_area) -> Column:
-    k = names.col(key)
-    a = names.col(key_area)
-    skip = F.when(a == "base", F.length(names.backups_dir(path_prefix))).otherwise(F.length(names.wal_dir(path_prefix)))
-    return k.substr(skip + 1, F.length(k))
+CLASS_PATTERNS = {
+    "segment": _below(_WAL, fixed.RX_WAL_SEGMENT) + _END,
+    "label": _below(_WAL, fixed.RX_WAL_LABEL.replace("[^\\n]", "[^\\n/]")) + _END,
+    "history": _below(_WAL, fixed.RX_WAL_HISTORY) + _END,
+    "volume": _below(_BASE, fixed.RX_BACKUP) + "[^/]*/" + fixed.VOLUME_DIR + "/" + _END,
+    "version": _below(_BASE, fixed.RX_BACKUP) + "[^/]*/" + fixed.VERSION_FILE.replace(".", "\\.") + "\\z",
+    "sentinel": _below(_BASE, fixed.RX_SENTINEL) + _END,
+}
+_BASE_NAME_AT = len(fixed.BASE_AREA + fixed.CURRENT_VERSION) + 2
+_WAL_NAME_AT = len(fixed.WAL_AREA + fixed.CURRENT_VERSION) + 2
 
 
 def classify_keys(inventory: DataFrame, path_prefix="path_prefix") -> DataFrame:
-    """Add area, thing, reason, tli, sn to a listing; one pass, no shuffle.
+    """Add area, thing, reason, tli, sn and backup_name to a listing; one pass, no shuffle.
 
     `thing` is sentinel / version / volume, segment / label / history or
     unexpected (with the reason). Keys outside both areas drop out, as they are
     never listed.
     """
-    listed = inventory.withColumn("area", area("key", path_prefix)).where(F.col("area").isNotNull())
-    rel = listed.withColumn("_rel", relative_key("key", path_prefix, "area"))
-    parts = rel.withColumn("_parts", F.split("_rel", "/")).withColumn("_n", F.size("_parts"))
-    first = F.get("_parts", F.lit(0))
-    base = F.col("area") == "base"
-    n = F.col("_n")
-    is_sentinel = first.rlike(fixed.RX_SENTINEL)
-    in_backup = first.rlike(fixed.RX_BACKUP)
-    is_version = in_backup & (F.get("_parts", F.lit(1)) == fixed.VERSION_FILE)
-    is_volume = in_backup & (F.get("_parts", F.lit(1)) == fixed.VOLUME_DIR)
-    is_segment = first.rlike(fixed.RX_WAL_SEGMENT)
-    is_label = first.rlike(fixed.RX_WAL_LABEL)
-    is_history = first.rlike(fixed.RX_WAL_HISTORY)
-    thing = (
-        F.when(base & (n == 1) & is_sentinel, "sentinel")
-        .when(base & (n == 2) & is_version, "version")
-        .when(base & (n == 3) & is_volume, "volume")
-        .when(~base & (n == 1) & is_segment, "segment")
-        .when(~base & (n == 1) & is_label, "label")
-        .when(~base & (n == 1) & is_history, "history")
-        .otherwise("unexpected")
-    )
-    depth_ok = F.when(base, n <= 3).otherwise(n == 1)
+    p = names.col(path_prefix)
+    rest = F.when(F.col("key").startswith(p), F.col("key").substr(F.length(p) + 1, F.length("key")))
+    placed = scale.once(inventory, rest.alias("_rest"))
+    area = F.when(F.col("_rest").rlike(_BASE), "base").when(F.col("_rest").rlike(_WAL), "wal")
+    thing = F.lit("unexpected")
+    for name, pattern in reversed(CLASS_PATTERNS.items()):
+        thing = F.when(F.col("_rest").rlike(pattern), name).otherwise(thing)
+    seen = scale.once(placed, area.alias("area"), thing.alias("thing")).where("area is not null")
+    base = F.col("thing").isin(*BACKUP_THINGS)
+    wal = F.col("thing").isin(*WAL_THINGS)
+    slashes = F.size(F.split("_rest", "/")) - 1
     reason = F.when(
         F.col("thing") == "unexpected",
-        F.when(~depth_ok, "depth")
-        .when(~base, "wal name")
-        .when(n == 1, "sentinel name")
-        .when(n == 2, "version name")
+        F.when(slashes > F.when(F.col("area") == "base", 3).otherwise(1), "depth")
+        .when(F.col("area") == "wal", "wal name")
+        .when(slashes == 1, "sentinel name")
+        .when(slashes == 2, "version name")
         .otherwise("volume name"),
     )
-    start = F.when(base, F.substring(first, 6, 24)).otherwise(F.substring(first, 1, 24))
-    placed = F.col("thing").isin(*DELETABLE)
     return (
-        parts.withColumn("thing", thing)
-        .withColumn("reason", reason)
-        .withColumn("tli", F.when(placed, F.substring(start, 1, 8)))
-        .withColumn("sn", F.when(placed, F.substring(start, 9, 16)))
-        .withColumn("backup_name", F.when(F.col("thing").isin(*BACKUP_THINGS), F.substring(first, 1, 38)))
-        .drop("_rel", "_parts", "_n")
+        seen.withColumn("reason", reason)
+        .withColumn(
+            "tli",
+            F.when(base, F.substring("_rest", _BASE_NAME_AT + 5, 8)).when(wal, F.substring("_rest", _WAL_NAME_AT, 8)),
+        )
+        .withColumn(
+            "sn",
+            F.when(base, F.substring("_rest", _BASE_NAME_AT + 13, 16)).when(wal, F.substring("_rest", _WAL_NAME_AT + 8, 16)),
+        )
+        .withColumn("backup_name", F.when(base, F.substring("_rest", _BASE_NAME_AT, 38)))
+        .drop("_rest")
     )
 
 

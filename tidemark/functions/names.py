@@ -256,7 +256,10 @@ def kib_per_second(size_bytes, seconds) -> Column:
 
 
 def kib_text(size_bytes, seconds) -> Column:
-    return F.coalesce(F.format_string("%.6g", kib_per_second(size_bytes, seconds)), F.lit("NaN"))
+    """The rate with six significant digits and no trailing zeros."""
+    rate = kib_per_second(size_bytes, seconds)
+    digits = F.regexp_replace(F.format_string("%.6g", rate), "([.][0-9]*?)0+(e|$)", "$1$2")
+    return F.when(rate.isNull(), "NaN").otherwise(F.regexp_replace(digits, "[.](e|$)", "$1"))
 
 
 def layout_version(key) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import scale
 from tidemark.functions import fixed, logtext, names
 
 
@@ -11,7 +12,7 @@ def typed_events(lines: DataFrame, column="value") -> DataFrame:
     s = lines.where(F.col(column).contains("STRUCTURED: ")).select(
         *[c for c in lines.columns if c != column], logtext.structured_part(column).alias("_text")
     )
-    kv = s.where("_text is not null").withColumn("kv", logtext.parse_structured("_text")).drop("_text")
+    kv = scale.once(s.where("_text is not null"), logtext.parse_structured("_text").alias("kv")).drop("_text")
 
     def get(k):
         return F.try_element_at("kv", F.lit(k))

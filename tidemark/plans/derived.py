@@ -9,6 +9,7 @@ prefixes. The same derivation is written in SQL in `oracle.py`.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scale
 from tidemark.functions import classify, logtext, names
 
 PREFIXES = 4
@@ -41,12 +42,13 @@ def inv_wal(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, "sub/").otherwise(""),
         F.when(history, F.concat(tli, F.lit(".history.lzo"))).otherwise(F.concat(number, suffix)),
     )
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = scale.once(
+        table(spark, sf_dir, "lineitem"),
         p.alias("prefix_id"),
         key.alias("key"),
         (F.col("l_quantity") * 1024).cast("bigint").alias("size"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-    )
+    ).select("prefix_id", "key", "size", "ts")
     return _listing(
         rows.groupBy("prefix_id", "key").agg(F.max("size").alias("size"), F.max("ts").alias("last_modified"))
     )
@@ -299,7 +301,7 @@ def _log_lines(events: DataFrame) -> DataFrame:
         F.lit(" so far."),
     )
     text = F.concat(F.lit("STRUCTURED: "), logtext.render_structured("time", "pid", "pairs"))
-    return e.select(F.when(F.col("kind") == "error", retry).otherwise(text).alias("value"))
+    return scale.once(e, F.when(F.col("kind") == "error", retry).otherwise(text).alias("value")).select("value")
 
 
 def log_lines(spark, sf_dir) -> DataFrame:

@@ -168,7 +168,7 @@ VIEWS = {
         SELECT least(date_trunc('millisecond', (SELECT max(ts) FROM pu WHERE state = 'begin')),
                      date_trunc('millisecond', (SELECT max(ts) FROM pu WHERE state IN ('complete', 'skip')))) - INTERVAL 1 HOUR AS mark""",
     "paired": """
-        SELECT p.* FROM pairs p, pair_mark m
+        SELECT p.* FROM pairs p CROSS JOIN pair_mark m
         WHERE outcome IS NOT NULL OR begin_ts <= m.mark - INTERVAL 10 MINUTE""",
     "arrived": "SELECT prefix, '00000001' AS tli, pos, ts, seg FROM typed WHERE action = 'push-wal' AND state IN ('complete', 'skip')",
     "sess0": "SELECT prefix, ts, lag(ts) OVER (PARTITION BY prefix ORDER BY ts) AS prev FROM typed WHERE action = 'wal-fetch'",
@@ -181,7 +181,7 @@ ISO = "'%Y-%m-%dT%H:%M:%S'"
 
 
 def _names_in(sql):
-    return [v for v in VIEWS if re.search(rf"(?<![\w.'])(?:FROM|JOIN|,)\s+{v}\b", sql)]
+    return [v for v in VIEWS if re.search(rf"(?<![\w.'])(?:FROM|JOIN)\s+{v}\b", sql)]
 
 
 def _with(sql: str) -> str:

@@ -21,6 +21,15 @@ CHUNK_SEGMENTS = 4096
 GROUP_LIMIT_ROWS = 1000
 
 
+def once(df: DataFrame, *columns) -> DataFrame:
+    """Add computed columns that later filters and expressions refer to by name.
+
+    They are produced by a one-row generator, so the optimizer does not copy the
+    expressions into every place that uses them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared checkpoint folder and go on from there.
 

@@ -49,7 +49,7 @@ def write_sentinels(finished: DataFrame, path: str) -> None:
 
 
 def write_delete_plan(report: DataFrame, path: str) -> None:
-    report.write.partitionBy("dry_run").parquet(path)
+    report.write.parquet(path)
 
 
 def write_volumes(files: DataFrame, packed: DataFrame, path: str) -> None:
