@@ -33,6 +33,14 @@ _BASE_NAME_AT = len(fixed.BASE_AREA + fixed.CURRENT_VERSION) + 2
 _WAL_NAME_AT = len(fixed.WAL_AREA + fixed.CURRENT_VERSION) + 2
 
 
+def _first_match(things) -> Column:
+    """The class whose pattern matches; patterns exclude each other, so the common class is tried first."""
+    found = F.lit("unexpected")
+    for thing in reversed(things):
+        found = F.when(F.col("_rest").rlike(CLASS_PATTERNS[thing]), thing).otherwise(found)
+    return found
+
+
 def classify_keys(inventory: DataFrame, path_prefix="path_prefix") -> DataFrame:
     """Add area, thing, reason, tli, sn and backup_name to a listing; one pass, no shuffle.
 
@@ -43,10 +51,10 @@ def classify_keys(inventory: DataFrame, path_prefix="path_prefix") -> DataFrame:
     p = names.col(path_prefix)
     rest = F.when(F.col("key").startswith(p), F.col("key").substr(F.length(p) + 1, F.length("key")))
     placed = scale.once(inventory, rest.alias("_rest"))
-    area = F.when(F.col("_rest").rlike(_BASE), "base").when(F.col("_rest").rlike(_WAL), "wal")
-    thing = F.lit("unexpected")
-    for name, pattern in reversed(CLASS_PATTERNS.items()):
-        thing = F.when(F.col("_rest").rlike(pattern), name).otherwise(thing)
+    area = F.when(F.col("_rest").startswith(_BASE[1:]), "base").when(F.col("_rest").startswith(_WAL[1:]), "wal")
+    thing = F.when(F.col("_rest").startswith(_WAL[1:]), _first_match(("segment", "label", "history"))).otherwise(
+        _first_match(("volume", "version", "sentinel"))
+    )
     seen = scale.once(placed, area.alias("area"), thing.alias("thing")).where("area is not null")
     base = F.col("thing").isin(*BACKUP_THINGS)
     wal = F.col("thing").isin(*WAL_THINGS)

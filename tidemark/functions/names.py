@@ -222,7 +222,7 @@ def base_name(path) -> Column:
 def dir_name(path) -> Column:
     """Text before the last slash, '' where there is none."""
     p = col(path)
-    return F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.lit(""))
+    return p.substr(F.lit(1), F.greatest(F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1, F.lit(0)))
 
 
 def member_name(path, root) -> Column:

@@ -36,7 +36,7 @@ def gaps(positions: DataFrame, skip_ff=False) -> DataFrame:
 
     `skip_ff` tolerates a lone missing ..FF, which old servers never write.
     """
-    p = scale.previous_row(positions, LINE, ["pos"], "chunk", ["pos"])
+    p = scale.previous_row(positions, LINE, ["pos"], "chunk", ["pos"], spread=False)
     prev = F.col("prev.pos")
     found = p.where(prev.isNotNull() & (F.col("pos") > prev + 1)).select(
         *LINE, (prev + 1).alias("gap_from"), (F.col("pos") - 1).alias("gap_to")
@@ -89,10 +89,11 @@ def restarts(classified: DataFrame, chunk_segments=scale.CHUNK_SEGMENTS) -> Data
         classified.where("thing = 'segment'")
         .select(*LINE, names.position_of_sn("sn").alias("pos"))
         .where("pos is not null")
-        .distinct()
         .withColumn("chunk", scale.chunk_of("pos", chunk_segments))
+        .repartition("prefix_id", "chunk")
+        .dropDuplicates(["prefix_id", "chunk", "pos", "tli"])
     )
-    r = scale.previous_row(p, ["prefix_id"], ["pos", "tli"], "chunk", ["pos", "tli"])
+    r = scale.previous_row(p, ["prefix_id"], ["pos", "tli"], "chunk", ["pos", "tli"], spread=False)
     kind = (
         F.when(F.col("prev").isNull(), "first")
         .when(F.col("prev.tli") != F.col("tli"), "timeline")

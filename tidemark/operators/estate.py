@@ -85,28 +85,53 @@ def ancestors(path) -> Column:
     )
 
 
-def emptied_dirs(inventory: DataFrame, plan: DataFrame) -> DataFrame:
+def mark_deleted(inventory: DataFrame, plan: DataFrame) -> DataFrame:
+    """The listing with a `deleted` flag, for a plan that is only known as a table of keys."""
+    gone = plan.select("prefix_id", "key", F.lit(True).alias("_gone"))
+    joined = inventory.select("prefix_id", "key").join(gone, ["prefix_id", "key"], "left")
+    return joined.select("prefix_id", "key", F.col("_gone").isNotNull().alias("deleted"))
+
+
+def emptied_dirs(marked: DataFrame) -> DataFrame:
     """Directories that a plan leaves empty, one level deep, per prefix.
 
-    A parent of deleted keys goes if no surviving key lies below it and no other
-    deleted key lay in a deeper directory of it. The common directory of the
-    deleted keys itself stays.
+    `marked` is the listing with a `deleted` flag. A parent of deleted keys goes
+    if no surviving key lies below it and no other deleted key lay in a deeper
+    directory of it. The common directory of the deleted keys itself stays; it can
+    only qualify where it is the sole parent of deleted keys in its prefix.
+
+    Keys are reduced to directories first. Each directory then tells itself and
+    those above it what it holds, and one more aggregate brings that together.
     """
-    gone = plan.select("prefix_id", "key").withColumn("dir", names.dir_name("key"))
-    parents = gone.groupBy("prefix_id", "dir").agg(F.count(F.lit(1)).alias("deleted_keys"))
-    left = inventory.select("prefix_id", "key").join(gone.select("prefix_id", "key"), ["prefix_id", "key"], "left_anti")
-    alive = (
-        left.select("prefix_id", names.dir_name("key").alias("dir"))
-        .distinct()
-        .select("prefix_id", F.explode(F.array_append(ancestors("dir"), F.col("dir"))).alias("dir"))
-        .distinct()
+    dirs = marked.groupBy("prefix_id", names.dir_name("key").alias("dir")).agg(
+        F.count_if("deleted").alias("gone"), F.count_if(~F.col("deleted")).alias("left")
+    )
+    here = F.struct(F.col("dir"), F.col("gone"), F.lit(False).alias("below"), F.lit(0).alias("parents"))
+    above = F.transform(
+        F.when(F.col("dir").contains("/"), ancestors("dir")).otherwise(F.array().cast("array<string>")),
+        lambda a: F.struct(a.alias("dir"), F.lit(0).cast("bigint").alias("gone"), (F.col("gone") > 0).alias("below"), F.lit(0).alias("parents")),
+    )
+    whole = F.struct(
+        F.lit(None).cast("string").alias("dir"),
+        F.lit(0).cast("bigint").alias("gone"),
+        F.lit(False).alias("below"),
+        (F.col("gone") > 0).cast("int").alias("parents"),
     )
-    above = (
-        parents.where(F.col("dir").contains("/")).select("prefix_id", F.explode(ancestors("dir")).alias("dir")).distinct()
+    told = dirs.select("prefix_id", (F.col("left") > 0).alias("alive"), F.explode(F.concat(F.array(here, whole), above)).alias("d"))
+    known = (
+        told.groupBy("prefix_id", F.col("d.dir").alias("dir"))
+        .agg(
+            F.sum("d.gone").alias("deleted_keys"),
+            F.max("alive").alias("alive"),
+            F.max("d.below").alias("below"),
+            F.sum("d.parents").alias("parents"),
+        )
+        .where("(dir is null and parents = 1) or (deleted_keys > 0 and not alive and not below)")
+        .select("prefix_id", "dir", "deleted_keys")
     )
-    top = common_prefix(gone, "prefix_id", "key").select("prefix_id", F.col("common_dir").alias("dir"))
-    kept = alive.unionByName(above).unionByName(top)
-    return parents.join(kept, ["prefix_id", "dir"], "left_anti")
+    known = scale.pin(known)
+    sole = known.where("dir is null").select("prefix_id")
+    return scale.join_small(known.where("dir is not null"), sole, "prefix_id", "left_anti")
 
 
 def touched_dirs(paths: DataFrame, keys) -> DataFrame:

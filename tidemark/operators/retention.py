@@ -59,6 +59,12 @@ def delete_before(classified: DataFrame, horizons: DataFrame) -> DataFrame:
     )
 
 
+def mark_before(classified: DataFrame, horizons: DataFrame) -> DataFrame:
+    """Every listed key with a `deleted` flag; prefixes without a horizon keep all."""
+    joined = scale.join_small(classified, horizons.select("prefix_id", "horizon_sn"), "prefix_id", "left")
+    return joined.withColumn("deleted", F.coalesce(F.col("sn") < F.col("horizon_sn"), F.lit(False))).drop("horizon_sn")
+
+
 def delete_retain(classified: DataFrame, backups: DataFrame, keep: int) -> DataFrame:
     return delete_before(classified, retention_horizon(backups, keep))
 

@@ -27,8 +27,8 @@ def _root(p):
 
 def inv_wal(spark, sf_dir) -> DataFrame:
     p = F.col("l_suppkey") % PREFIXES
-    tli = names.hex8(1 + p % 2)
-    number = F.concat(tli, names.hex8(F.floor(F.col("l_orderkey") / 256)), names.hex8(F.col("l_orderkey") % 256))
+    tli = _hx(1 + p % 2)
+    number = F.concat(tli, _hx(F.floor(F.col("l_orderkey") / 256)), _hx(F.col("l_orderkey") % 256))
     suffix = (
         F.when(F.col("l_returnflag").isin("N", "A"), ".lzo")
         .when(F.col("l_linestatus") == "F", ".0000A000.backup.lzo")
@@ -42,13 +42,12 @@ def inv_wal(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, "sub/").otherwise(""),
         F.when(history, F.concat(tli, F.lit(".history.lzo"))).otherwise(F.concat(number, suffix)),
     )
-    rows = scale.once(
-        table(spark, sf_dir, "lineitem"),
+    rows = scale.once(table(spark, sf_dir, "lineitem"), key.alias("key")).select(
         p.alias("prefix_id"),
-        key.alias("key"),
+        "key",
         (F.col("l_quantity") * 1024).cast("bigint").alias("size"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-    ).select("prefix_id", "key", "size", "ts")
+    )
     return _listing(
         rows.groupBy("prefix_id", "key").agg(F.max("size").alias("size"), F.max("ts").alias("last_modified"))
     )
@@ -65,57 +64,51 @@ def _listing(rows: DataFrame) -> DataFrame:
     )
 
 
+def _hx(number):
+    """As `names.hex8`, for numbers known to fit."""
+    return F.lpad(F.hex(number), 8, "0")
+
+
 def _order_backups(spark, sf_dir) -> DataFrame:
     p = F.col("o_custkey") % PREFIXES
-    name = F.concat(
-        F.lit("base_"),
-        names.hex8(1 + p % 2),
-        names.hex8(F.floor(F.col("o_orderkey") / 256)),
-        names.hex8(F.col("o_orderkey") % 256),
-        F.lit("_"),
-        names.hex8("o_custkey"),
-    )
-    return (
-        table(spark, sf_dir, "orders")
-        .withColumn("prefix_id", p)
-        .withColumn("name", name)
-        .withColumn("price", F.floor("o_totalprice").cast("bigint"))
-        .withColumn("last_modified", F.col("o_orderdate").cast("timestamp"))
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("base_"), _hx(1 + p % 2), _hx(F.floor(k / 256)), _hx(k % 256), F.lit("_"), _hx(F.col("o_custkey")))
+    return scale.once(table(spark, sf_dir, "orders"), name.alias("name")).select(
+        "*",
+        p.alias("prefix_id"),
+        F.floor("o_totalprice").cast("bigint").alias("price"),
+        F.col("o_orderdate").cast("timestamp").alias("last_modified"),
     )
 
 
 def inv_base(spark, sf_dir) -> DataFrame:
-    """Keys of backup directories: one pass over orders, each order unfolding to its own few keys."""
-    b = _order_backups(spark, sf_dir)
-    home = F.concat(_root("prefix_id"), F.lit("basebackups_005/"), "name")
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    started = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    junk = F.col("o_orderpriority") == "5-LOW"
+    """Keys of backup directories: one pass over orders, each order unfolding to its own few keys.
 
-    def obj(key, size):
-        return F.struct(key.alias("key"), size.cast("bigint").alias("size"))
-
-    none = F.array().cast("array<struct<key:string,size:bigint>>")
-    sentinel = F.when(urgent, F.array(obj(F.concat(home, F.lit("_backup_stop_sentinel.json")), F.lit(120)))).otherwise(none)
-    version = F.when(started, F.array(obj(F.concat(home, F.lit("/extended_version.txt")), F.lit(64)))).otherwise(none)
+    Step 0 to 2 are volumes, 3 the version file, 4 the sentinel, 5 a stray key.
+    """
+    b = _order_backups(spark, sf_dir)
+    steps = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit(3), F.lit(4)))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit(3)))
+        .when(F.col("o_orderpriority") == "5-LOW", F.array(F.lit(5)))
+    )
     volumes = F.when(
-        started,
-        F.transform(
-            F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")),
-            lambda v: obj(
-                F.concat(home, F.lit("/tar_partitions/part_"), F.lpad(F.hex(v.cast("bigint")), 8, "0"), F.lit(".tar.lzo")),
-                F.floor(F.col("price") / (v + 1)),
-            ),
-        ),
-    ).otherwise(none)
-    odd = F.when(
-        F.col("o_orderkey") % 2 == 0, F.concat(home, F.lit("_partial.json"))
-    ).otherwise(F.concat(_root("prefix_id"), F.lit("basebackups_005/a/b/c/d"), F.col("o_orderkey").cast("string")))
-    other = F.when(junk, F.array(obj(odd, F.lit(1)))).otherwise(none)
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int"))
+    )
+    none = F.array().cast("array<int>")
+    unfolded = b.withColumn("step", F.explode(F.concat(F.coalesce(steps, none), F.coalesce(volumes, none))))
+    step = F.col("step")
+    below = (
+        F.when(step == 3, F.concat("name", F.lit("/extended_version.txt")))
+        .when(step == 4, F.concat("name", F.lit("_backup_stop_sentinel.json")))
+        .when(step < 3, F.concat("name", F.lit("/tar_partitions/part_"), _hx(step.cast("bigint")), F.lit(".tar.lzo")))
+        .when(F.col("o_orderkey") % 2 == 0, F.concat("name", F.lit("_partial.json")))
+        .otherwise(F.concat(F.lit("a/b/c/d"), F.col("o_orderkey").cast("string")))
+    )
+    size = F.when(step == 3, 64).when(step == 4, 120).when(step == 5, 1).otherwise(F.floor(F.col("price") / (step + 1)))
+    key = F.concat(_root("prefix_id"), F.lit("basebackups_005/"), below)
     return _listing(
-        b.select("prefix_id", "last_modified", F.explode(F.concat(sentinel, version, volumes, other)).alias("o")).select(
-            "prefix_id", "o.key", "o.size", "last_modified"
-        )
+        scale.once(unfolded, key.alias("key")).select("prefix_id", "key", size.cast("bigint").alias("size"), "last_modified")
     )
 
 

@@ -255,6 +255,7 @@ _SQL = {
     "footprint": f"""
         SELECT prefix_id, thing, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, strftime(min(ts), {ISO}) AS oldest,
                strftime(max(ts), {ISO}) AS newest, grouping(prefix_id, thing) AS level FROM classified GROUP BY ROLLUP (prefix_id, thing)""",
+    "distinct_estimate": "SELECT prefix_id, count(DISTINCT key) AS objects, true AS estimate_near FROM inv GROUP BY prefix_id",
     "backup_list": f"""
         SELECT prefix_id, name, strftime(ts, {ISO}) AS last_modified, CAST(NULL AS BIGINT) AS expanded_size_bytes,
                start AS wal_segment_backup_start, start_offset AS wal_segment_offset_backup_start,
@@ -302,7 +303,7 @@ _SQL = {
             WHERE r.o_orderpriority = '3-MEDIUM' GROUP BY ALL)""",
     "delete_retain": "SELECT prefix_id, key, size, thing, sn FROM retain",
     "delete_retain_summary": """
-        SELECT prefix_id, thing, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, max(sn) AS newest_sn FROM retain GROUP BY prefix_id, thing""",
+        SELECT prefix_id, thing, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS newest FROM retain GROUP BY prefix_id, thing""",
     "retention_horizon": "SELECT prefix_id, horizon_sn, horizon_key, retained FROM horizon",
     "retention_message": """
         SELECT prefix_id, n AS backups, greatest(n - 5, 0) AS deleting,

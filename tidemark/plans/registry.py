@@ -72,7 +72,12 @@ def _(spark, sf):
 
 @query("distinct_estimate", "A17")
 def _(spark, sf):
-    return estate.distinct_estimate(d.inventory(spark, sf))
+    """Keys of a listing are distinct, so the estimate must come close to the plain count."""
+    inv = d.inventory(spark, sf)
+    exact = inv.groupBy("prefix_id").agg(F.count(F.lit(1)).alias("objects"))
+    both = estate.distinct_estimate(inv).join(exact, "prefix_id")
+    near = F.abs(F.col("keys_estimate") - F.col("objects")) <= F.col("objects") * 0.1
+    return both.select("prefix_id", "objects", near.alias("estimate_near"))
 
 
 # ---- backups -----------------------------------------------------------------------------
@@ -172,7 +177,8 @@ def _(spark, sf):
     return (
         _retain(spark, sf)
         .groupBy("prefix_id", "thing")
-        .agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"), F.max("sn").alias("newest_sn"))
+        .agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"), F.max("last_modified").alias("newest"))
+        .withColumn("newest", names.iso_seconds("newest"))
     )
 
 
@@ -269,7 +275,8 @@ def _(spark, sf):
 
 @query("empty_dirs", "A16 A8")
 def _(spark, sf):
-    return estate.emptied_dirs(d.inventory(spark, sf), _retain(spark, sf))
+    horizons = retention.retention_horizon(_backups(spark, sf), KEEP)
+    return estate.emptied_dirs(retention.mark_before(d.classified(spark, sf), horizons))
 
 
 # ---- segments ----------------------------------------------------------------------------

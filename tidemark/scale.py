@@ -90,18 +90,21 @@ def top_n(df: DataFrame, keys, order, n: int, spread="key") -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def previous_row(df: DataFrame, keys, order, chunk: str, values) -> DataFrame:
+def previous_row(df: DataFrame, keys, order, chunk: str, values, spread=True) -> DataFrame:
     """Add `prev`, a struct of `values` of the preceding row in the group's order.
 
     `chunk` is a column that never decreases along the order and cuts each group
     into bounded pieces. The lag runs inside the pieces; only the last row of
-    each piece travels to the next one.
+    each piece travels to the next one. Pass `spread=False` for a table that is
+    laid out by (keys, chunk) already.
     """
-    spread = df.repartition(*keys, chunk)
+    spread = df.repartition(*keys, chunk) if spread else df
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     value = F.struct(*values)
     lagged = spread.withColumn("_prev", F.lag(value).over(inside))
-    last = spread.groupBy(*keys, chunk).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    plain = list(values) == list(order) and len(order) == 1
+    final = F.struct(F.max(order[0]).alias(order[0])) if plain else F.max_by(value, F.struct(*order))
+    last = spread.groupBy(*keys, chunk).agg(final.alias("_last"))
     across = Window.partitionBy(*keys).orderBy(chunk)
     carried = last.select(*keys, chunk, F.lag("_last").over(across).alias("_carried"))
     return (

@@ -45,7 +45,7 @@ def sentinel_bodies(finished: DataFrame) -> DataFrame:
 
 def write_sentinels(finished: DataFrame, path: str) -> None:
     """The commit record of a batch of backups; call it last, after their volumes are written."""
-    sentinel_bodies(finished).write.partitionBy("prefix_id").json(path)
+    sentinel_bodies(finished).write.json(path)
 
 
 def write_delete_plan(report: DataFrame, path: str) -> None:
