@@ -256,10 +256,11 @@ def kib_per_second(size_bytes, seconds) -> Column:
 
 
 def kib_text(size_bytes, seconds) -> Column:
-    """The rate with six significant digits and no trailing zeros."""
+    """The rate with six significant digits, no trailing zeros, at least two characters."""
     rate = kib_per_second(size_bytes, seconds)
     digits = F.regexp_replace(F.format_string("%.6g", rate), "([.][0-9]*?)0+(e|$)", "$1$2")
-    return F.when(rate.isNull(), "NaN").otherwise(F.regexp_replace(digits, "[.](e|$)", "$1"))
+    text = F.regexp_replace(digits, "[.](e|$)", "$1")
+    return F.when(rate.isNull(), "NaN").when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
 def layout_version(key) -> Column:

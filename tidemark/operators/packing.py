@@ -97,12 +97,12 @@ def pack(
         blocks.groupBy("cluster_id", "blk")
         .applyInPandas(
             lambda key, pdf: _block_table(key, pdf, block, max_bytes, max_members),
-            "cluster_id string, blk bigint, leave array<int>, begun array<bigint>",
+            "cluster_id string, blk bigint, full int, leave array<int>, begun array<bigint>",
         )
         .withColumn("grp", F.floor(F.col("blk") / fan).cast("bigint"))
     )
     grouped = tables.groupBy("cluster_id", "grp").applyInPandas(
-        _combine, "cluster_id string, grp bigint, leave array<int>, begun array<bigint>"
+        _combine, "cluster_id string, grp bigint, full int, leave array<int>, begun array<bigint>"
     )
     group_entry = grouped.groupBy("cluster_id").applyInPandas(
         _enter_groups, "cluster_id string, grp bigint, entry int, volumes bigint"
@@ -153,6 +153,7 @@ def _block_table(key, pdf, block, max_bytes, max_members):
         {
             "cluster_id": [cluster],
             "blk": [blk],
+            "full": [int(size[0] >= max_bytes)],
             "leave": [off.astype(np.int32)],
             "begun": [begun[:entries].astype(np.int64)],
         }
@@ -161,8 +162,9 @@ def _block_table(key, pdf, block, max_bytes, max_members):
 
 def _combine(key, pdf):
     cluster, grp = key
+    pdf = pdf.sort_values("blk")
     leave = begun = None
-    for row in pdf.sort_values("blk").itertuples(index=False):
+    for row in pdf.itertuples(index=False):
         l, b = np.asarray(row.leave), np.asarray(row.begun)
         if leave is None:
             leave, begun = l.copy(), b.copy()
@@ -170,7 +172,8 @@ def _combine(key, pdf):
             on = leave >= 0
             begun[on] += b[leave[on]]
             leave[on] = l[leave[on]]
-    return pd.DataFrame({"cluster_id": [cluster], "grp": [grp], "leave": [leave], "begun": [begun]})
+    full = pdf["full"].iloc[0]
+    return pd.DataFrame({"cluster_id": [cluster], "grp": [grp], "full": [full], "leave": [leave], "begun": [begun]})
 
 
 def _walk(pdf, label, entry, volumes):
@@ -184,7 +187,9 @@ def _walk(pdf, label, entry, volumes):
 
 
 def _enter_groups(pdf):
-    return _walk(pdf, "grp", 0, 0)
+    # A first member of the full size closes volume 0 while that is still empty.
+    pdf = pdf.sort_values("grp")
+    return _walk(pdf, "grp", 0, int(pdf["full"].iloc[0]))
 
 
 def _enter_blocks(left, right):

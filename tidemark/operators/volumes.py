@@ -75,7 +75,7 @@ def tablespace_spec(manifest: DataFrame, base_prefix) -> DataFrame:
     rel = names.member_name("path", base_prefix)
     loc = F.when(F.col("link_target").endswith("/"), F.col("link_target")).otherwise(F.concat("link_target", F.lit("/")))
     return (
-        manifest.where("ftype = 'link'")
+        manifest.where(F.col("ftype").isin("link", "dirlink"))
         .withColumn("link", rel)
         .where(F.col("link").rlike("^" + fixed.TABLESPACE_DIR + "/[^/]+$"))
         .select("cluster_id", names.base_name("path").alias("tablespace"), loc.alias("loc"), "link")

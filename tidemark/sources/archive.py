@@ -8,12 +8,12 @@ from tidemark.schema import ARCHIVE_STATUS, FILE_MANIFEST
 
 
 def read_sentinels(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Sentinel files as (url, name, segment and offset of the start, body); one row per file, read in parallel."""
+    """Sentinel files below a path as (url, name, start segment, body), one row per file; no other file is opened."""
     p = names.parse_sentinel_key("url")
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .text(path_glob)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "base_*_backup_stop_sentinel.json*")
+        .text(path_glob, wholetext=True)
         .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
         .where(p.isNotNull())
         .select("url", p["name"].alias("name"), p["wal_segment_backup_start"].alias("wal_segment_backup_start"), "body")
