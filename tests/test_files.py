@@ -118,10 +118,10 @@ def test_shared_folder(spark):
     assert scale.pin(spark.range(3)).count() == 3
 
 
-def test_ranked_over_keys_and_ties(spark):
-    df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("k"), F.col("id").alias("v"))
-    got = {(r.k, r.v): r["rank"] for r in scale.ranked(df, "k", ["v"]).collect()}
-    assert got == {(str(i % 2), i): i // 2 + 1 for i in range(1000)}
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("v"))
+    got = scale.numbered(df, ["k"], ["v"], "v", pieces=16).collect()
+    assert sorted((r.k, r.number) for r in got) == [(k, n) for k in (0, 1) for n in range(1, 501)]
 
 
 @pytest.mark.parametrize("word", ["localCheckpoint", "crossJoin", "toPandas"])

@@ -26,29 +26,39 @@ def render_record(msg, detail, hint, structured) -> Column:
     )
 
 
+def _padded(text) -> Column:
+    return F.concat(F.lit(" "), names.col(text))
+
+
+def _value_after(padded, mark) -> Column:
+    tail = F.call_function("substring_index", padded, mark, F.lit(-1))
+    return F.substring_index(tail, " ", 1)
+
+
 def parse_structured(text) -> Column:
     """The pairs of a structured line as a map.
 
     `=` inside values is kept; a repeated key keeps its last value; values with
     spaces are cut there, since the writer does not escape them.
     """
-    def key_of(p):
-        return F.substring_index(p, "=", 1)
-
     parts = F.filter(F.split(names.col(text), " "), lambda p: F.instr(p, "=") > 1)
-    last_ones = F.filter(
-        parts,
-        lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: key_of(q) == key_of(p)),
-    )
-    return F.map_from_arrays(
-        F.transform(last_ones, key_of),
-        F.transform(last_ones, lambda p: p.substr(F.length(key_of(p)) + 2, F.length(p))),
+    keys = F.array_distinct(F.transform(parts, lambda p: F.substring_index(p, "=", 1)))
+    padded = _padded(text)
+    return F.map_from_entries(
+        F.transform(keys, lambda k: F.struct(k, _value_after(padded, F.concat(F.lit(" "), k, F.lit("=")))))
     )
 
 
+def structured_value(text, key: str) -> Column:
+    """One value of a structured line: the same as in `parse_structured`, at a fraction of its cost."""
+    padded = _padded(text)
+    return F.when(padded.contains(f" {key}="), _value_after(padded, F.lit(f" {key}=")))
+
+
 def structured_part(line) -> Column:
     """What follows STRUCTURED: in a log line (also when the line is indented), null for other lines."""
-    return names.extract(line, "^\\s*(?:.*\\s)?STRUCTURED: (.*)$", 1)
+    padded = _padded(line)
+    return F.when(padded.contains(" STRUCTURED: "), F.substring_index(padded, " STRUCTURED: ", -1))
 
 
 RX_ATTEMPTS = "There have been ([0-9]+) attempts to (send the volume|fetch wal file) (\\S+) so far"

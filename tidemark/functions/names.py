@@ -247,7 +247,9 @@ def log_time(ts) -> Column:
 
 
 def parse_log_time(text) -> Column:
-    return F.try_to_timestamp(F.regexp_replace(col(text), "-00$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    t = col(text)
+    bare = F.when(t.endswith("-00"), t.substr(F.lit(1), F.length(t) - 3)).otherwise(t)
+    return F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def kib_per_second(size_bytes, seconds) -> Column:

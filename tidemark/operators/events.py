@@ -12,13 +12,13 @@ def typed_events(lines: DataFrame, column="value") -> DataFrame:
     s = lines.where(F.col(column).contains("STRUCTURED: ")).select(
         *[c for c in lines.columns if c != column], logtext.structured_part(column).alias("_text")
     )
-    kv = scale.once(s.where("_text is not null"), logtext.parse_structured("_text").alias("kv")).drop("_text")
+    found = s.where("_text is not null")
 
     def get(k):
-        return F.try_element_at("kv", F.lit(k))
+        return logtext.structured_value("_text", k)
 
-    return kv.select(
-        *[c for c in kv.columns if c != "kv"],
+    return scale.once(
+        found,
         names.parse_log_time(get("time")).alias("time"),
         get("pid").try_cast("bigint").alias("pid"),
         get("action").alias("action"),
@@ -27,6 +27,14 @@ def typed_events(lines: DataFrame, column="value") -> DataFrame:
         get("prefix").alias("prefix"),
         get("state").alias("state"),
         get("rate").try_cast("double").alias("rate"),
+    ).drop("_text")
+
+
+def event_pairs(lines: DataFrame, column="value") -> DataFrame:
+    """All pairs of each structured line as a map, for keys without a column of their own."""
+    text = logtext.structured_part(column)
+    return lines.where(F.col(column).contains("STRUCTURED: ") & text.isNotNull()).select(
+        logtext.parse_structured(text).alias("pairs")
     )
 
 

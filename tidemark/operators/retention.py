@@ -117,12 +117,13 @@ def delete_report(plan: DataFrame, scheme="scheme", dry_run=True) -> DataFrame:
 
 
 def delete_pages(plan: DataFrame, page_keys=fixed.DELETE_PAGE_KEYS) -> DataFrame:
-    """Number the keys of each bucket in listing order and cut pages of at most `page_keys`.
+    """Cut the keys of each bucket into pages of at most `page_keys`.
 
     Every key gets exactly one page, and only the last page of a bucket can be
-    short. A hot bucket is split by key ranges.
+    short. The order of keys in pages is free, so a hot bucket is numbered in hash
+    pieces and shuffled once.
     """
-    rank = scale.ranked(plan, "bucket", ["key", "prefix_id"], out="key_number")
+    rank = scale.numbered(plan, ["bucket"], ["key", "prefix_id"], "key", out="key_number")
     return rank.withColumn("page", F.floor((F.col("key_number") - 1) / page_keys).cast("bigint"))
 
 

@@ -95,7 +95,8 @@ VIEWS = {
     "retain": """
         SELECT c.* FROM cl c JOIN horizon h USING (prefix_id) WHERE c.sn IS NOT NULL AND c.sn < h.horizon_sn""",
     "pages": """
-        SELECT bucket, prefix_id, key, row_number() OVER (PARTITION BY bucket ORDER BY key, prefix_id) AS key_number FROM retain""",
+        SELECT bucket, prefix_id, key, row_number() OVER (PARTITION BY bucket
+            ORDER BY CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) % 4096, key, prefix_id) AS key_number FROM retain""",
     "pos": """
         SELECT DISTINCT prefix_id, tli, CAST('0x' || substr(sn, 1, 8) AS BIGINT) * 256 + CAST('0x' || substr(sn, 9, 8) AS BIGINT) AS pos
         FROM cl WHERE thing = 'segment'""",
@@ -473,6 +474,12 @@ _SQL = {
                CAST(floor(value) AS BIGINT) % 7 = 0 AS no_rate FROM events""",
     "log_render": "SELECT value FROM lines",
     "log_parse": "SELECT tt AS time, pid, action, key, seg, prefix, state, rate FROM typed",
+    "log_pairs": """
+        SELECT key, value, count(*) AS lines FROM (
+            SELECT 'pid' AS key, CAST(pid AS VARCHAR) AS value FROM typed UNION ALL SELECT 'action', action FROM typed
+            UNION ALL SELECT 'key', key FROM typed UNION ALL SELECT 'prefix', prefix FROM typed UNION ALL SELECT 'seg', seg FROM typed
+            UNION ALL SELECT 'state', state FROM typed UNION ALL SELECT 'rate', CAST(CAST(rate AS BIGINT) AS VARCHAR) FROM typed)
+        WHERE value IS NOT NULL GROUP BY key, value""",
     "log_round_trip": """
         SELECT prefix, action, state, count(*) AS records, CAST(sum(rate) AS BIGINT) AS rate_sum FROM ev GROUP BY prefix, action, state""",
     "upload_stats": """

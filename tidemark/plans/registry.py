@@ -605,6 +605,12 @@ def _(spark, sf):
     return e.withColumn("time", names.log_time("time"))
 
 
+@query("log_pairs", "F18")
+def _(spark, sf):
+    p = events.event_pairs(d.log_lines(spark, sf)).select(F.explode("pairs").alias("key", "value"))
+    return p.where("key <> 'time'").groupBy("key", "value").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("log_round_trip", "SK7 SC10 F17 F18")
 def _(spark, sf):
     """Records are written as text files of several lines, read back and typed."""

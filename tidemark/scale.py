@@ -150,24 +150,24 @@ def running_totals(df: DataFrame, keys, order, chunk: str, value: str, index="id
     )
 
 
-def ranked(df: DataFrame, key: str, order, out="rank") -> DataFrame:
-    """Exact 1-based rank of every row inside its `key`, however many rows the key holds.
+def numbered(df: DataFrame, keys, order, spread_on: str, out="number", pieces=4096) -> DataFrame:
+    """Number the rows of each group 1..n without bringing a group together.
 
-    The table is range-sorted by (key, order), which splits a hot key over many
-    tasks, and pinned so that the ranges stay as sampled. A row's rank is its
-    offset inside the sorted piece plus the row counts of the earlier pieces; the
-    counts are one row per (piece, key).
+    Rows are spread over `pieces` hash pieces per group and numbered inside them in
+    `order`; the row counts of the pieces, one row per piece, give the offsets.
+    Numbers are dense and repeatable; they follow (piece, order), not `order` alone.
     """
-    pinned = pin(df.orderBy(key, *order)).withColumn("_id", F.monotonically_increasing_id())
-    piece = F.shiftright("_id", 33)
-    placed = pinned.withColumn("_piece", piece)
-    counts = placed.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
-    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, "_piece", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    piece = (F.conv(F.substring(F.md5(spread_on), 1, 4), 16, 10).cast("bigint") % pieces).alias("_piece")
+    spread = df.select("*", piece).repartition(*keys, "_piece")
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    counts = spread.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     return (
-        join_small(placed, starts, [key, "_piece"])
-        .withColumn(out, (F.col("_id") - F.col("_first") + F.col("_start") + 1).cast("bigint"))
-        .drop("_id", "_piece", "_first", "_start")
+        spread.withColumn("_n", F.row_number().over(inside))
+        .join(starts, [*keys, "_piece"])
+        .withColumn(out, (F.col("_n") + F.col("_start")).cast("bigint"))
+        .drop("_piece", "_n", "_start")
     )
 
 
