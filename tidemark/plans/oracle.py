@@ -172,6 +172,7 @@ VIEWS = {
         SELECT p.* FROM pairs p CROSS JOIN pair_mark m
         WHERE outcome IS NOT NULL OR begin_ts <= m.mark - INTERVAL 10 MINUTE""",
     "arrived": "SELECT prefix, '00000001' AS tli, pos, ts, seg FROM typed WHERE action = 'push-wal' AND state IN ('complete', 'skip')",
+    "arrived_states": "SELECT prefix, state, ts FROM typed WHERE action = 'push-wal' AND state IN ('complete', 'skip')",
     "sess0": "SELECT prefix, ts, lag(ts) OVER (PARTITION BY prefix ORDER BY ts) AS prev FROM typed WHERE action = 'wal-fetch'",
     "sess1": """
         SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 10 MINUTE THEN 1 ELSE 0 END)
@@ -519,6 +520,11 @@ _SQL = {
              AND h.ts BETWEEN l.ts - INTERVAL 1 HOUR AND l.ts + INTERVAL 1 HOUR
         WHERE h.pos IS NULL AND l.ts <= (SELECT date_trunc('millisecond', max(ts)) FROM arrived) - INTERVAL 2 HOUR""",
     "stream_first_pushes": "SELECT DISTINCT prefix, seg FROM typed WHERE action = 'push-wal'",
+    "stream_late_rows": """
+        SELECT prefix, count(*) AS arrived, count(*) FILTER (state = 'complete' OR ts > mark) AS kept,
+               count(*) FILTER (NOT (state = 'complete' OR ts > mark)) AS late
+        FROM arrived_states CROSS JOIN (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM arrived_states WHERE state = 'complete')
+        GROUP BY prefix""",
     "stream_restore_sessions": """
         SELECT prefix, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') || '-00' AS session_start,
                strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%dT%H:%M:%S.%f') || '-00' AS session_end, count(*) AS fetches

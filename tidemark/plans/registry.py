@@ -773,6 +773,21 @@ def _(spark, sf):
     return out.select("prefix", "seg")
 
 
+@query("stream_late_rows", "ST8")
+def _(spark, sf):
+    """Skipped uploads arrive after the finished ones were processed; those behind the watermark are dropped."""
+    typed = _events(spark, sf).where("action = 'push-wal' and state in ('complete', 'skip')")
+    arrivals, folder = shared_path(spark, "arrivals"), shared_path(spark, "late")
+    for state in ("complete", "skip"):
+        typed.where(F.col("state") == state).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(typed.schema).parquet(arrivals).withWatermark("time", "10 minutes")
+        once = stream.dropDuplicatesWithinWatermark(["prefix", "pid", "seg", "state", "time"])
+        kept, _q = log_stream.run_available(once, "late", folder=folder)
+    arrived = typed.groupBy("prefix").agg(F.count(F.lit(1)).alias("arrived"))
+    kept = kept.groupBy("prefix").agg(F.count(F.lit(1)).alias("kept"))
+    return arrived.join(kept, "prefix").select("prefix", "arrived", "kept", (F.col("arrived") - F.col("kept")).alias("late"))
+
+
 @query("stream_restore_sessions", "ST7")
 def _(spark, sf):
     out, _q = log_stream.run_available(log_stream.restore_sessions(_stream(spark, sf)), "sessions")

@@ -3,8 +3,8 @@
 Every function takes a streaming (or batch) DataFrame of typed events and returns
 one; `run_available` drives a stream over what is there and sinks it to files.
 State is keyed by single uploads, segments or windows, so a busy prefix is spread
-over all tasks; the one keyed by prefix alone (sessions) is pre-reduced by Spark
-before the shuffle where the session merge setting is on.
+over all tasks. Sessions are keyed by prefix alone; Spark merges them inside each
+task before the shuffle, so a busy prefix sends few rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +118,7 @@ def first_pushes(events: DataFrame, delay=WATERMARK) -> DataFrame:
 def restore_sessions(events: DataFrame, delay=WATERMARK, pause="10 minutes") -> DataFrame:
     """Runs of segment fetches per prefix, split where none came for `pause`."""
     fetch = events.where(F.col("action") == fixed.ACTION_FETCH)
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         fetch.withWatermark("time", delay)
         .groupBy(F.session_window("time", pause).alias("w"), "prefix")
@@ -126,23 +127,24 @@ def restore_sessions(events: DataFrame, delay=WATERMARK, pause="10 minutes") ->
     )
 
 
-def run_available(stream: DataFrame, name: str, mode="append"):
+def run_available(stream: DataFrame, name: str, mode="append", folder=None):
     """Drive a stream over everything available now into parquet; returns (table, query).
 
-    Output and checkpoint lie in the shared folder, so a lost executor, or the
-    driver itself, can pick the query up again.
+    Output and progress lie in the shared folder, so a lost executor, or the driver
+    itself, can pick the query up again; pass the `folder` of an earlier run to go on
+    from there.
     """
     spark: SparkSession = stream.sparkSession
-    out = shared_path(spark, f"stream-{name}")
+    folder = folder or shared_path(spark, f"stream-{name}")
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
-        .option("checkpointLocation", shared_path(spark, f"progress-{name}"))
+        .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
-        .start(out)
+        .start(f"{folder}/data")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out), query
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data"), query
 
 
 def late_rows(query) -> int:
