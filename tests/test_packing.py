@@ -63,3 +63,24 @@ def test_sizes(spark):
 def test_extra_columns_survive(spark):
     df = spark.createDataFrame([("a", "x", 1, 0)], MANIFEST).withColumn("ftype", F.lit("dir"))
     assert set(packing.pack(df, 10, 4).columns) == {"cluster_id", "path", "size", "ord", "ftype", "volume"}
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere, with the package on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from tidemark.session import build_session\n"
+        "from tidemark.operators import packing\n"
+        "s = build_session('x', 'local[2]', 2, spark__ui__enabled='false')\n"
+        f"m = s.createDataFrame([('a', str(i), 5, i) for i in range(9)], {MANIFEST!r})\n"
+        "print('volumes', packing.pack(m, 12, 4).select('volume').distinct().count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "volumes 5" in out.stdout, out.stderr[-2000:]

@@ -21,8 +21,11 @@ looks sequential, but it need not be followed member by member:
 Python only sees (member number, running sum) of one block at a time.
 """
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ from tidemark.functions import fixed
 BLOCK = 1 << 18
 FAN = 256
 
+# The few functions below that run in tasks travel with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _next_start(upto, size, max_bytes, max_members):
     """For members 0..n-1 of a slice: slice index at which a volume begun there ends (n or more: beyond it)."""
