@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import classify, fixed, logtext, names, sqlface
 from tidemark.operators import catalog, continuity, estate, events, packing, pending, retention, volumes
 from tidemark.plans import derived as d
-from tidemark.session import shared_path, use_utc
+from tidemark.session import prepare, shared_path
 from tidemark.sinks import archive as sink
 from tidemark.sources import archive as source
 from tidemark.sources import listing
@@ -24,7 +24,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {}
 def query(name: str, covers: str):
     def add(fn):
         def run(spark, sf_dir):
-            use_utc(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__

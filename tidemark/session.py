@@ -25,10 +25,17 @@ def build_session(app="tidemark", master=None, shuffle_partitions=None, **extra)
     return b.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Archive times carry no zone; they are read and rendered as UTC."""
+def prepare(spark: SparkSession) -> None:
+    """Archive times carry no zone; they are read and rendered as UTC.
+
+    A local session that was left at Spark's default of 200 shuffle partitions is
+    given one per core, since streams open a state store for each.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
 
 
 def shared_folder(spark: SparkSession) -> str:
