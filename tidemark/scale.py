@@ -127,14 +127,24 @@ def latest_value(df: DataFrame, keys, order, chunk: str, value: str, out: str) -
     return filled.join(carried, [*keys, chunk]).withColumn(out, F.coalesce("_in", "_carried")).drop("_in", "_carried")
 
 
+def _count_reading(columns) -> Column:
+    """count(*) that reads the given columns.
+
+    The condition always holds. It keeps the columns from being pruned in one of
+    two branches over the same shuffle, so that Spark runs that shuffle once.
+    """
+    return F.sum(F.when(F.hash(*columns) >= F.lit(-2147483648), F.lit(1)).otherwise(F.lit(0)))
+
+
 def running_totals(df: DataFrame, keys, order, chunk: str, value: str, index="idx", total="upto") -> DataFrame:
     """Per group: 1-based `index` and inclusive running sum `total` of `value`, over bounded chunks."""
-    spread = df.repartition(*keys, chunk)
+    # Never null, so that the join below adds no null test to one branch only.
+    spread = df.withColumn(chunk, F.coalesce(chunk, F.lit(0))).repartition(*keys, chunk)
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     local = spread.withColumn("_i", F.row_number().over(inside)).withColumn(
         "_s", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
-    sums = spread.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"))
+    sums = spread.groupBy(*keys, chunk).agg(_count_reading(df.columns).alias("_n"), F.sum(value).alias("_t"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *keys,
@@ -157,10 +167,11 @@ def numbered(df: DataFrame, keys, order, spread_on: str, out="number", pieces=40
     `order`; the row counts of the pieces, one row per piece, give the offsets.
     Numbers are dense and repeatable; they follow (piece, order), not `order` alone.
     """
-    piece = (F.conv(F.substring(F.md5(spread_on), 1, 4), 16, 10).cast("bigint") % pieces).alias("_piece")
-    spread = df.select("*", piece).repartition(*keys, "_piece")
+    piece = F.conv(F.substring(F.md5(spread_on), 1, 4), 16, 10).cast("bigint") % pieces
+    # Never null, so that the join below adds no null test to one branch only.
+    spread = df.select("*", F.coalesce(piece, F.lit(0)).alias("_piece")).repartition(*keys, "_piece")
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    counts = spread.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    counts = spread.groupBy(*keys, "_piece").agg(_count_reading(df.columns).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     return (
