@@ -2,17 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality, toxicity
 from tidemark.llm.text import read
 from tidemark.session import prepare
 
 
+def op1_toxicity(spark, sf_dir):
+    prepare(spark)
+    got = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    spans = F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return got.withColumn("offending", F.array_join(spans, ","))
+
+
+def op2_quality_rules(spark, sf_dir):
+    prepare(spark)
+    got = quality.judge(read(spark, sf_dir, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return got.select("doc_id", *base, "base_failed", "kept", F.round("probability", 6).alias("probability"))
+
+
 def op8_source_mix(spark, sf_dir):
     prepare(spark)
     return mixing.taken_words(read(spark, sf_dir, "documents")).drop("first_slot")
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op8_source_mix": op8_source_mix,
 }
 
