@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, toxicity
-from tidemark.llm.text import read
+from tidemark.llm import decontaminate, mixing, quality, secrets, toxicity
+from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
 
@@ -21,6 +21,31 @@ def op2_quality_rules(spark, sf_dir):
     return got.select("doc_id", *base, "base_failed", "kept", F.round("probability", 6).alias("probability"))
 
 
+def op3_decontamination(spark, sf_dir):
+    prepare(spark)
+    got = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _count(kind_no):
+    return F.size(F.filter("found", lambda s: s["kind_no"] == kind_no)).cast("bigint")
+
+
+def op7_secret_scan(spark, sf_dir):
+    prepare(spark)
+    paths, _entries = secrets.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind_no"] < secrets.BASE)
+    counts = [_count(k).alias(f"n_{rule[0]}") for k, rule in enumerate(secrets.RULES[: secrets.BASE])]
+    return paths.select("doc_id", *counts, F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("found")).alias("spans"))
+
+
 def op8_source_mix(spark, sf_dir):
     prepare(spark)
     return mixing.taken_words(read(spark, sf_dir, "documents")).drop("first_slot")
@@ -29,9 +54,13 @@ def op8_source_mix(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
+    "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
 }
 
 ORACLE = {
+    "op3_decontamination": decontaminate.ORACLE,
+    "op7_secret_scan": secrets.ORACLE,
     "op8_source_mix": mixing.ORACLE,
 }

@@ -39,3 +39,53 @@ def numbered_rows(docs: DataFrame, doc_id="doc_id", text="text", **more) -> Data
 
 def read(spark, sf_dir, table) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+SPAN = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
+CONTEXT = 24
+
+
+def spans(text: Column, pattern: str, keep=None) -> Column:
+    """Where `pattern` matches: array of start, end (code points, exclusive), match, and up to CONTEXT characters around.
+
+    Matches are leftmost and do not overlap; the pattern must not match the empty string.
+    `keep` maps a match to a condition; failing ones are dropped and not retried. Splitting the
+    text at the pattern gives the gaps, so positions are running lengths: one pass, no window.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(2), F.size(found)).alias("g")), F.slice(gaps, F.lit(1), F.size(found)),
+                       lambda x, g: F.struct(x["m"].alias("m"), x["g"].alias("after"), g.alias("before")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(
+            start.alias("start"), end.alias("end"), x["m"].alias("match"),
+            F.substring(x["before"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["after"], 1, CONTEXT).alias("after"),
+        )).cast(SPAN)
+        more = F.concat(acc["out"], one)
+        out = more if keep is None else F.when(F.coalesce(keep(x["m"]), F.lit(False)), more).otherwise(acc["out"])
+        return F.struct(end.cast("bigint").alias("at"), out.cast(SPAN).alias("out"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
+def tagged(found: Column, kind_no: int, kind: str) -> Column:
+    """Spans as array<struct<start, kind_no, end, kind>>, which sorts by start and then by kind as listed."""
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def span_digest(listed: Column) -> Column:
+    """kind:start:end, comma-joined, of sorted tagged spans."""
+    return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def join_rows(docs: DataFrame, chosen: DataFrame, how="inner", max_rows=500_000, max_bytes=32 << 20) -> DataFrame:
+    """Join on `row_id`, unique in both; `chosen` is narrow. Broadcast only if its measured size is within the bounds, else shuffled."""
+    from tidemark import scale
+
+    chosen = scale.pin(chosen)
+    rows, size = scale._size(chosen)
+    return docs.join(F.broadcast(chosen) if rows <= max_rows and size <= max_bytes else chosen, "row_id", how)
