@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, secrets, toxicity
+from tidemark.llm import decontaminate, mixing, pii, quality, secrets, toxicity
 from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
@@ -34,15 +34,15 @@ def op3_decontamination(spark, sf_dir):
     )
 
 
-def _count(kind_no):
-    return F.size(F.filter("found", lambda s: s["kind_no"] == kind_no)).cast("bigint")
+def _of_kind(kind_no):
+    return lambda s: s["kind_no"] == kind_no
 
 
 def op7_secret_scan(spark, sf_dir):
     prepare(spark)
     paths, _entries = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind_no"] < secrets.BASE)
-    counts = [_count(k).alias(f"n_{rule[0]}") for k, rule in enumerate(secrets.RULES[: secrets.BASE])]
+    counts = [F.size(F.filter("found", _of_kind(k))).cast("bigint").alias(f"n_{rule[0]}") for k, rule in enumerate(secrets.RULES[: secrets.BASE])]
     return paths.select("doc_id", *counts, F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("found")).alias("spans"))
 
 
@@ -51,12 +51,20 @@ def op8_source_mix(spark, sf_dir):
     return mixing.taken_words(read(spark, sf_dir, "documents")).drop("first_slot")
 
 
+def op9_pii(spark, sf_dir):
+    prepare(spark)
+    got = pii.redactions(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[: pii.BASE])]
+    return got.select("doc_id", *counts, F.sha2(span_digest(F.col("base")), 256).alias("base_sha256"), span_digest(F.col("found")).alias("spans"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
+    "op9_pii": op9_pii,
 }
 
 ORACLE = {
