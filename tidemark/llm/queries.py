@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii, quality, secrets, toxicity
+from tidemark.llm import decontaminate, mixing, packing, pii, quality, secrets, toxicity
 from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
@@ -58,6 +58,11 @@ def op9_pii(spark, sf_dir):
     return got.select("doc_id", *counts, F.sha2(span_digest(F.col("base")), 256).alias("base_sha256"), span_digest(F.col("found")).alias("spans"))
 
 
+def op10_packed_rows(spark, sf_dir):
+    prepare(spark)
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -65,6 +70,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_pii": op9_pii,
+    "op10_packed_rows": op10_packed_rows,
 }
 
 ORACLE = {
