@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, mixing, packing, pii, quality, secrets, toxicity
+from tidemark.llm import decontaminate, jaccard, mixing, packing, pii, quality, repeats, secrets, toxicity
 from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
@@ -34,6 +34,11 @@ def op3_decontamination(spark, sf_dir):
     )
 
 
+def op4_repeated_bytes(spark, sf_dir):
+    prepare(spark)
+    return repeats.report(read(spark, sf_dir, "documents"))
+
+
 def op5_shingle_join(spark, sf_dir):
     prepare(spark)
     return jaccard.join(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_repeated_bytes": op4_repeated_bytes,
     "op5_shingle_join": op5_shingle_join,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
