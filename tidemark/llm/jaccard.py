@@ -64,12 +64,12 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def described(rows: DataFrame, words: int) -> DataFrame:
-    """row_id, doc_id, class, n of every document, and in rows of their own (slice, at, add) what each task adds to the sketch."""
+    """row_id, doc_id, class, n, bits of every document, and in rows of their own (slice, at, add) what each task adds to the sketch."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         counts, seen, doc_type = np.zeros(BUCKETS, np.uint32), set(), None
-        names = ["row_id", "doc_id", "class", "n", "slice", "at", "add"]
+        names = ["row_id", "doc_id", "class", "n", "bits", "slice", "at", "add"]
         for batch, ks, sets in _sets(batches, words):
             ids = [class_of(s) for s in sets]
             for c, s in zip(ids, sets, strict=True):
@@ -82,7 +82,7 @@ def described(rows: DataFrame, words: int) -> DataFrame:
             n, take = len(ks), pa.array(ks)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id").take(take), batch.column("doc_id").take(take), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                 pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
         if doc_type is None or not counts.any():
             return
         part = BUCKETS // SLICES
@@ -93,10 +93,10 @@ def described(rows: DataFrame, words: int) -> DataFrame:
             at.append(some.astype("<u2").tobytes())
             add.append(np.minimum(c[some], 0xFFFF).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, doc_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()),
+            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, doc_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()),
              pa.array(range(SLICES), pa.int32()), pa.array(at, pa.binary()), pa.array(add, pa.binary())], names)
 
-    return rows.mapInArrow(run, f"row_id bigint, doc_id {kind}, class bigint, n int, slice int, at binary, add binary")
+    return rows.mapInArrow(run, f"row_id bigint, doc_id {kind}, class bigint, n int, bits binary, slice int, at binary, add binary")
 
 
 def rarity(sketch: DataFrame) -> np.ndarray:
@@ -179,7 +179,12 @@ def _runs(batches, key):
         yield held_key, held
 
 
-def candidate_groups(prefix: DataFrame) -> DataFrame:
+def _between(cuts, end, start=0):
+    at = [start, *(int(c) for c in cuts), end]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def candidate_groups(prefix: DataFrame, percent: int) -> DataFrame:
     """gid, token, block, class, n: the classes that share a prefix shingle, in blocks of bounded size; a gid names a set of members."""
 
     def run(batches):
@@ -208,13 +213,15 @@ def candidate_groups(prefix: DataFrame) -> DataFrame:
                 continue
             order = np.lexsort((c, n))
             c, n = c[order], n[order]
-            number = np.maximum(np.arange(len(c)) // BLOCK_CLASSES, np.cumsum(n.astype(np.int64)) // BLOCK_TOKENS)
-            ends = np.r_[np.flatnonzero(number[1:] != number[:-1]) + 1, len(c)]
-            at = 0
-            for block, end in enumerate(ends):
-                add(token, -1 if len(ends) == 1 else block, c[at:end], n[at:end])
-                at = end
-            held += len(c)
+            # by size: no pair links across a step of more than the similarity
+            for a, b in _between(np.flatnonzero(n[:-1].astype(np.int64) * 100 < n[1:].astype(np.int64) * percent) + 1, len(c)):
+                if b - a < 2:
+                    continue
+                number = np.maximum(np.arange(b - a) // BLOCK_CLASSES, np.cumsum(n[a:b], dtype=np.int64) // BLOCK_TOKENS)
+                blocks = _between(a + np.flatnonzero(number[1:] != number[:-1]) + 1, b, a)
+                for block, (x, y) in enumerate(blocks):
+                    add(token, -1 if len(blocks) == 1 else a + block, c[x:y], n[x:y])
+                held += b - a
             if held >= 100_000:
                 yield flush()
                 held = 0
@@ -229,14 +236,50 @@ def least_overlap(a, b, percent):
 
 
 class Tree:
-    """Sets under nodes with the OR of their bitmaps and their range of sizes. Level 0 holds the sets, ordered by size."""
+    """Sets under nodes with the OR of their bitmaps and their range of sizes; level 0 holds the sets, ordered by size."""
+
+    def __init__(self, size, bits, percent):
+        self.size, self.bits, self.percent = size, bits, percent
+        self.levels = [(bits, size, size)]
+        while len(self.levels) < 2 or len(self.levels[-1][0]) > 1:
+            below, low, high = self.levels[-1]
+            at = np.arange(0, len(below), FAN)
+            self.levels.append((np.bitwise_or.reduceat(below, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+
+    def below(self, level, k):
+        return k * FAN**level, min((k + 1) * FAN**level, len(self.size))
+
+    def may(self, level, u, v):
+        """Can any set below u link to any below v? Each lacks at least the bits that no set below v has."""
+        bits, low, high = self.levels[level]
+        if high[u] * 100 < low[v] * self.percent or high[v] * 100 < low[u] * self.percent:
+            return False
+        a, b = self.below(level, u)
+        missing = np.bitwise_count(self.bits[a:b] & ~bits[v]).sum(1, dtype=np.int64)
+        return bool((self.size[a:b] - missing >= least_overlap(self.size[a:b], low[v], self.percent)).any())
+
+    def leaves(self, done=lambda a, b, c, d: False):
+        """(a, b, c, d): ranges of sets under two lowest nodes that may link, by dual descent; `done` drops pairs of nodes."""
+        stack = [(len(self.levels) - 1, 0, 0)]
+        while stack:
+            level, u, v = stack.pop()
+            (a, b), (c, d) = self.below(level, u), self.below(level, v)
+            if done(a, b, c, d) or not (self.may(level, u, v) and self.may(level, v, u)):
+                continue
+            if level == 1:
+                yield a, b, c, d
+                continue
+            width = len(self.levels[level - 1][0])
+            us = range(u * FAN, min((u + 1) * FAN, width))
+            vs = range(v * FAN, min((v + 1) * FAN, width))
+            stack.extend(sorted(((level - 1, x, y) for x in us for y in vs if x <= y), key=lambda p: p[1] == p[2]))
 
-    def __init__(self, sizes, bitmaps):
-        self.levels = [(bitmaps, sizes, sizes)]
-        while len(self.levels[-1][0]) > 1:
-            bits, low, high = self.levels[-1]
-            at = np.arange(0, len(bits), FAN)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+    def open_pairs(self, i, js):
+        """Of the sets js, those that the sizes and bitmaps let link to set i."""
+        lacks = np.bitwise_count(self.bits[i] & ~self.bits[js]).sum(1, dtype=np.int64)
+        extra = np.bitwise_count(self.bits[js] & ~self.bits[i]).sum(1, dtype=np.int64)
+        most = np.minimum(self.size[i] - lacks, self.size[js] - extra)
+        return js[most >= least_overlap(self.size[i], self.size[js], self.percent)]
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -245,91 +288,92 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def tree_links(ids, sets, percent, sides=None):
-    """Links that connect: [(id, id)], a spanning forest of the similarity graph of the sets.
+def open_members(size, bits, label, percent) -> np.ndarray:
+    """Which sets, ordered by size, have a partner of another label that sizes and bitmaps allow."""
+    tree, found = Tree(size, bits, percent), np.zeros(len(size), bool)
+    for a, b, c, d in tree.leaves(_alike(label)):
+        for i in range(a, b):
+            js = np.arange(max(c, i + 1), d)
+            js = tree.open_pairs(i, js[label[js] != label[i]])
+            found[js] = True
+            found[i] |= len(js) > 0
+    return found
 
-    With `sides` (0 or 1 per set) only links between sets of different sides count.
-    """
-    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
-    side = np.zeros(len(ids), int) if sides is None else np.array([sides[k] for k in order])
-    size = np.array([len(s) for s in sets], np.int64)
-    bits = np.stack([bitmap(s) for s in sets])
-    tree = Tree(size, bits)
-    root = np.arange(len(ids))
-    links = []
 
-    def below(level, k):
-        return k * FAN**level, min((k + 1) * FAN**level, len(ids))
+def _alike(label):
+    def test(a, b, c, d):
+        one = label[a]
+        return bool((label[a:b] == one).all() and (label[c:d] == one).all())
 
-    def may(level_u, u, level_v, v):
-        """Can any set below u link to any below v?"""
-        (bu, lu, hu), (bv, lv, hv) = tree.levels[level_u], tree.levels[level_v]
-        if hu[u] * 100 < lv[v] * percent or hv[v] * 100 < lu[u] * percent:
-            return False
-        a, b = below(level_u, u)
-        missing = np.bitwise_count(bits[a:b] & ~bv[v]).sum(1, dtype=np.int64)
-        return bool((size[a:b] - missing >= least_overlap(size[a:b], lv[v], percent)).any())
+    return test
 
-    def one_component(a, b, c, d):
-        r = root[a]
-        return bool((root[a:b] == r).all() and (root[c:d] == r).all())
 
-    def leaves(a, b, c, d):
+def tree_links(ids, sets, labels, percent):
+    """Links that connect: [(id, id)], a spanning forest of the similarity graph, once sets of one label are taken as connected."""
+    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
+    root = np.unique([labels[k] for k in order], return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    tree = Tree(size, np.stack([bitmap(s) for s in sets]), percent)
+    links = []
+    for a, b, c, d in tree.leaves(_alike(root)):
         for i in range(a, b):
             js = np.arange(max(c, i + 1), d)
             js = js[root[js] != root[i]]
-            if sides is not None:
-                js = js[side[js] != side[i]]
-            if not len(js):
-                continue
-            most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[js]).sum(1, dtype=np.int64), size[js] - np.bitwise_count(bits[js] & ~bits[i]).sum(1, dtype=np.int64))
-            for j in js[most >= least_overlap(size[i], size[js], percent)]:
+            for j in tree.open_pairs(i, js) if len(js) else ():
                 if root[i] == root[j]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both * 100 >= percent * (size[i] + size[j] - both):
                     links.append((ids[i], ids[j]))
                     root[root == root[j]] = root[i]
-
-    stack = [(len(tree.levels) - 1, 0, 0)]
-    while stack:
-        level, u, v = stack.pop()
-        (a, b), (c, d) = below(level, u), below(level, v)
-        if one_component(a, b, c, d) or not (may(level, u, level, v) and may(level, v, level, u)):
-            continue
-        if level <= 1:
-            leaves(a, b, c, d)
-            continue
-        width = len(tree.levels[level - 1][0])
-        us = range(u * FAN, min((u + 1) * FAN, width))
-        vs = range(v * FAN, min((v + 1) * FAN, width))
-        pairs = [(level - 1, x, y) for x in us for y in vs if x <= y]
-        stack.extend(sorted(pairs, key=lambda p: p[1] != p[2]))  # neighbours in size last in, first out below
     return links
 
 
+def still_open(members: DataFrame, described_classes: DataFrame, percent: int) -> DataFrame:
+    """The rows gid, class, label of `members` that the bitmaps (class, n, bits) do not rule out."""
+
+    def run(batches):
+        out, names = ([], [], []), ["gid", "class", "label"]
+        for gid, parts in _runs(batches, "gid"):
+            label = np.concatenate([p.column("label").to_numpy()[a:b] for p, a, b in parts])
+            c = np.concatenate([p.column("class").to_numpy()[a:b] for p, a, b in parts])
+            n = np.concatenate([p.column("n").to_numpy()[a:b] for p, a, b in parts]).astype(np.int64)
+            bits = np.frombuffer(b"".join(x.as_py() for p, a, b in parts for x in p.column("bits").slice(a, b - a)), np.uint64).reshape(len(c), -1)
+            order = np.lexsort((c, n))
+            kept = order[open_members(n[order], bits[order], label[order], percent)]
+            for x, v in zip(out, (np.full(len(kept), gid), c[kept], label[kept]), strict=True):
+                x.append(v)
+            if len(out[0]) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                out = ([], [], [])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+
+    rows = members.join(described_classes, "class").select("gid", "class", "label", "n", "bits")
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "gid bigint, class bigint, label bigint")
+
+
 def verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect, from rows gid, class, side (null: all pairs count) joined with the sets (class, tokens)."""
+    """a, b: links that connect, from rows gid, class, label (sets of one label are connected already) joined with the sets (class, tokens)."""
 
     def run(batches):
         out = []
         for _gid, parts in _runs(batches, "gid"):
             c = np.concatenate([p.column("class").to_numpy()[a:b] for p, a, b in parts])
             tokens = [t.as_py() for p, a, b in parts for t in p.column("tokens").slice(a, b - a)]
-            side = [t.as_py() for p, a, b in parts for t in p.column("side").slice(a, b - a)]
+            label = np.concatenate([p.column("label").to_numpy()[a:b] for p, a, b in parts])
             c, first = np.unique(c, return_index=True)
             if len(c) > 1:
                 kept = [np.frombuffer(tokens[k], np.uint64) for k in first]
-                sides = None if side[0] is None else [side[k] for k in first]
-                out.extend(tree_links(c.tolist(), kept, percent, sides))
+                out.extend(tree_links(c.tolist(), kept, label[first], percent))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    rows = members.select("gid", "class", "side").join(sets, "class").select("gid", "class", "side", "tokens")
+    rows = members.join(sets, "class").select("gid", "class", "label", "tokens")
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -351,25 +395,33 @@ def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc
     both = scale.pin(described(rows, words))
     found = both.where("slice is null").select("row_id", "doc_id", "class", "n")
     levels = rarity(both.where("slice is not null").select("slice", "at", "add"))
-    groups = scale.pin(candidate_groups(prefixes(rows.select("text"), words, percent, levels)))
+    groups = scale.pin(candidate_groups(prefixes(rows.select("text"), words, percent, levels), percent))
     small = groups.where("block < 0").select("gid", "class").distinct()
     blocks = groups.where("block >= 0").select("token", "block", "gid", "class", "n")
-    members = scale.pin(small.unionByName(blocks.select("gid", "class").distinct()))
+    every = small.unionByName(blocks.select("gid", "class").distinct()).withColumn("label", F.col("class"))
+    every = scale.pin(every)
+    facts = both.where("slice is null and n > 0").join(every.select("class"), "class", "left_semi").select("class", "n", "bits").dropDuplicates(["class"])
+    facts = scale.pin(facts)
+    members = scale.pin(still_open(every, facts, percent))
     size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    first = members.join(size, "gid").groupBy("class").agg(F.max(F.struct("size", "gid")).alias("g")).select("class", F.col("g.gid").alias("gid"))
-    wanted = found.where("n > 0").join(first.select("class"), "class", "left_semi").groupBy("class").agg(F.min("row_id").alias("row_id"))
-    sets = scale.pin(set_table(rows.select("row_id", "text"), wanted.select("row_id"), words))
-    none = F.lit(None).cast("int").alias("side")
-    links = scale.pin(verified(first.select("gid", "class", none), sets, percent))
+    first = members.join(size, "gid").groupBy("class").agg(F.max(F.struct("size", "gid")).alias("g")).select("class", F.col("g.gid").alias("gid"), F.col("class").alias("label"))
+    wanted = found.where("n > 0").join(first.unionByName(blocks.select("class", "gid", F.col("class").alias("label"))).select("class"), "class", "left_semi")
+    sets = scale.pin(set_table(rows.select("row_id", "text"), wanted.groupBy("class").agg(F.min("row_id").alias("row_id")).select("row_id"), words))
+    links = scale.pin(verified(first, sets, percent))
     label = scale.pin(components(links).select(F.col("node").alias("class"), "root"))
-    named = members.join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_groups = named.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
-    again = members.join(open_groups, "gid", "left_semi").select("gid", "class", none)
-    more = verified(again, sets, percent)
+    again = _labelled(members.drop("label"), label)
+    open_groups = again.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid")
+    again = again.join(open_groups, "gid", "left_semi")
     across = _across(blocks, label)
     if across is not None:
-        more = more.unionByName(verified(across, sets, percent))
-    return found, links.unionByName(scale.pin(more))
+        again = again.unionByName(across)
+    left = scale.pin(still_open(again, facts, percent))
+    return found, links.unionByName(scale.pin(verified(left, sets, percent)))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """gid, class, and as label the root of the class, or the class itself."""
+    return rows.join(label, "class", "left").select("gid", "class", F.coalesce("root", "class").alias("label"))
 
 
 def _across(blocks: DataFrame, label: DataFrame):
@@ -383,8 +435,8 @@ def _across(blocks: DataFrame, label: DataFrame):
     x, y = facts.alias("x"), facts.alias("y")
     pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.block < y.block and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
     pairs = pairs.select(F.col("x.token").alias("token"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
-    sided = pairs.select("token", F.col("one").alias("block"), "one", "two", F.lit(0).alias("side")).unionByName(pairs.select("token", F.col("two").alias("block"), "one", "two", F.lit(1).alias("side")))
-    return sided.join(blocks, ["token", "block"]).select(F.xxhash64("token", "one", "two").alias("gid"), "class", "side")
+    both = pairs.select("token", F.col("one").alias("block"), "one", "two").unionByName(pairs.select("token", F.col("two").alias("block"), "one", "two"))
+    return _labelled(both.join(blocks, ["token", "block"]).select(F.xxhash64("token", "one", "two").alias("gid"), "class"), label)
 
 
 def join(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc_id", text="text") -> DataFrame:
