@@ -141,6 +141,15 @@ def shared(a: bytes, b: bytes, start=0) -> int:
     return n - ((x ^ y).bit_length() + 7) // 8
 
 
+def _squeeze(data: bytes) -> bytes:
+    """Compressed, with the length in front: runs travel through shuffle files."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def encode_run(entries) -> tuple:
     """Front-coded run of sorted (key, before, places): prefix lengths, rest lengths, rests, and the rest of each entry."""
     lcps, sizes, rests, last = [], [], [], b""
@@ -151,9 +160,10 @@ def encode_run(entries) -> tuple:
         rests.append(key[p:])
         last = key
     places = [p for e in entries for p in e[2]]
+    rest, front = b"".join(rests), b"".join(e[1] for e in entries)
     return (
-        np.array(lcps, "<u2").tobytes(), np.array(sizes, "<u2").tobytes(), b"".join(rests),
-        np.array([len(e[1]) for e in entries], "<u2").tobytes(), b"".join(e[1] for e in entries),
+        np.array(lcps, "<u2").tobytes(), np.array(sizes, "<u2").tobytes(), _squeeze(rest),
+        np.array([len(e[1]) for e in entries], "<u2").tobytes(), _squeeze(front),
         np.array([len(e[2]) for e in entries], "<u4").tobytes(), np.array([p[0] for p in places], "<i8").tobytes(), np.array([p[1] for p in places], "<i8").tobytes(),
     )
 
@@ -161,6 +171,7 @@ def encode_run(entries) -> tuple:
 def decode_run(lcps, sizes, rests, befores, before, counts, ids, ats):
     """(prefix shared with the one before, key, before, places) in order."""
     key, r, b, p = b"", 0, 0, 0
+    rests, before = _unsqueeze(rests), _unsqueeze(before)
     ids, ats = np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ats, "<i8").tolist()
     for lcp, size, nb, np_ in zip(*(np.frombuffer(x, t).tolist() for x, t in ((lcps, "<u2"), (sizes, "<u2"), (befores, "<u2"), (counts, "<u4"))), strict=True):
         key = key[:lcp] + rests[r : r + size]
@@ -368,13 +379,12 @@ def removal(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text", hot=HO
     """(rows, ranges): row_id, doc_id, text as binary; and row_id with its ranges array<struct<start, size>>, overlapping as found."""
     rows = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
     anchors = anchor_rows(rows.where(F.length("text") >= length).select("row_id", "text"), length)
-    anchors = scale.pin(anchors)
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = anchors.join(often, "anchor").select("row_id", F.when(F.col("n") > hot, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
     per_row = scale.pin(marked.groupBy("row_id").agg(F.collect_list("at").alias("ats")))
     total = per_row.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SUFFIXES))
-    chosen = _join_lists(rows.select("row_id", "text"), per_row, 8 * total)
+    chosen = _join_lists(rows.select("row_id", "text"), per_row, 4 * total)
     found = merged_ranges(suffix_runs(chosen, length, parts), length)
     ranges = scale.pin(found.groupBy("row_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges")))
     return rows, ranges
@@ -383,7 +393,7 @@ def removal(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text", hot=HO
 def _join_lists(rows, lists, size, how="inner", most=48 << 20):
     """Join lists to their rows: broadcast only if their measured size is within bounds."""
     n = lists.count()
-    return rows.join(F.broadcast(lists) if size + 48 * n <= most and n <= 500_000 else lists, "row_id", how)
+    return rows.join(F.broadcast(lists) if size + 64 * n <= most and n <= 500_000 else lists, "row_id", how)
 
 
 def _cover(ranges):
