@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, mixing, packing, pii, quality, repeats, secrets, toxicity
+from tidemark.llm import decontaminate, jaccard, lines, mixing, packing, pii, quality, repeats, secrets, toxicity
 from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
@@ -44,6 +44,11 @@ def op5_shingle_join(spark, sf_dir):
     return jaccard.join(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_fuzzy_lines(spark, sf_dir):
+    prepare(spark)
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def _of_kind(kind_no):
     return lambda s: s["kind_no"] == kind_no
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_shingle_join": op5_shingle_join,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_pii": op9_pii,
