@@ -112,15 +112,13 @@ def schedule(target: DataFrame, block_words=BLOCK_WORDS) -> DataFrame:
 
 def taken_ranges(sized: DataFrame, target: DataFrame, slots: DataFrame, repeats=REPEATS, block_words=BLOCK_WORDS) -> DataFrame:
     """What each slot takes: row_id, pass (0, 1, …), slot, first (word offset in the document), words."""
-    keyed = sized.where("size > 0").select(
-        "row_id", "source", "size", F.md5(F.col("doc_id").cast("string")).alias("shuffled")
-    ).withColumn("piece", F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("bigint"))
-    placed = scale.running_totals(keyed, ["source"], ["shuffled", "size", "row_id"], "piece", "size").select(
-        "row_id", "source", "size", (F.col("upto") - F.col("size")).alias("start")
-    )
     facts = scale.pin(target.where("target > 0").select("source", "source_no", "source_size", F.floor("target").alias("goal")))
-    placed = placed.join(facts, placed["source"].eqNullSafe(facts["source"])).select(
-        "row_id", "size", "source_no", "goal", "start", "source_size"
+    # numbered sources, as a null source would be lost by the joins on it below
+    keyed = sized.where("size > 0").join(facts, sized["source"].eqNullSafe(facts["source"])).select(
+        "row_id", "size", "source_no", "goal", "source_size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffled")
+    ).withColumn("piece", F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("bigint"))
+    placed = scale.running_totals(keyed, ["source_no"], ["shuffled", "size", "row_id"], "piece", "size").select(
+        "row_id", "size", "source_no", "goal", (F.col("upto") - F.col("size")).alias("start"), "source_size"
     )
     again = placed.select(
         "row_id", "size", "source_no", "goal", F.posexplode(F.sequence(F.col("start"), F.col("start") + (repeats - 1) * F.col("source_size"), F.col("source_size"))).alias("pass", "at")
