@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark import scale
 from tidemark.llm import hashing
-from tidemark.llm.text import join_rows, numbered_rows
+from tidemark.llm.text import numbered_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -338,7 +338,7 @@ def suffix_runs(chosen: DataFrame, length: int, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return chosen.select("row_id", "text", "ats").mapInArrow(run, RUN)
+    return chosen.mapInArrow(run, RUN)
 
 
 def merged_ranges(runs: DataFrame, length: int) -> DataFrame:
@@ -376,24 +376,21 @@ def merged_ranges(runs: DataFrame, length: int) -> DataFrame:
 
 
 def removal(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text", hot=HOT):
-    """(rows, ranges): row_id, doc_id, text as binary; and row_id with its ranges array<struct<start, size>>, overlapping as found."""
-    rows = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
-    anchors = anchor_rows(rows.where(F.length("text") >= length).select("row_id", "text"), length)
+    """(rows, ranges): row_id, doc_id, text as binary; and row_id with its ranges array<struct<start, size>>, overlapping as found.
+
+    Both are laid out by row_id. Texts are exchanged once: the join that gives anchors to their texts and the join
+    of the ranges with `rows` read the same exchange, so its columns are the same in both.
+    """
+    plain = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
+    anchors = anchor_rows(plain.where(F.length("text") >= length).select("row_id", "text"), length)
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = anchors.join(often, "anchor").select("row_id", F.when(F.col("n") > hot, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
     per_row = scale.pin(marked.groupBy("row_id").agg(F.collect_list("at").alias("ats")))
     total = per_row.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SUFFIXES))
-    chosen = _join_lists(rows.select("row_id", "text"), per_row, 4 * total)
-    found = merged_ranges(suffix_runs(chosen, length, parts), length)
-    ranges = scale.pin(found.groupBy("row_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges")))
-    return rows, ranges
-
-
-def _join_lists(rows, lists, size, how="inner", most=48 << 20):
-    """Join lists to their rows: broadcast only if their measured size is within bounds."""
-    n = lists.count()
-    return rows.join(F.broadcast(lists) if size + 64 * n <= most and n <= 500_000 else lists, "row_id", how)
+    parts = max(int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SUFFIXES))
+    rows = plain.repartition("row_id")
+    found = merged_ranges(suffix_runs(rows.join(per_row, "row_id"), length, parts), length)
+    return rows, found.groupBy("row_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
 
 
 def _cover(ranges):
@@ -415,11 +412,6 @@ def _rest(body: bytes, spans):
     yield body[at:]
 
 
-def _with_ranges(rows, ranges):
-    size = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] * 24
-    return _join_lists(rows, ranges, size, "left")
-
-
 def report(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, ranges = removal(docs, length, doc_id, text)
@@ -441,7 +433,7 @@ def report(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text") -> Data
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = _with_ranges(rows, ranges).select("doc_id", "text", "ranges")
+    joined = rows.join(ranges, "row_id", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -459,4 +451,4 @@ def remove(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text") -> Data
                 out.append(None if body is None else b"".join(_rest(body, spans)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(out, pa.string())], ["row_id", "doc_id", "text"])
 
-    return _with_ranges(rows, ranges).mapInArrow(run, f"row_id bigint, doc_id {kind}, text string")
+    return rows.join(ranges, "row_id", "left").mapInArrow(run, f"row_id bigint, doc_id {kind}, text string")
