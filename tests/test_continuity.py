@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidemark import scale
 from tidemark.functions import names
 from tidemark.operators import continuity
 
@@ -106,3 +107,17 @@ def test_positions(spark):
     df = spark.createDataFrame([("0000000000000100",), ("00000001000000FF",)], "sn string")
     assert [r[0] for r in df.select(names.position_of_sn("sn")).collect()] == [None, 511]
     assert rows(df.where("sn = '00000001000000FF'").select(names.sn_of_position(names.position_of_sn("sn")))) == [("00000001000000FF",)]
+
+
+def test_wild_ranges_stay_small(spark):
+    """A gap of 2^32 segments is one row, and a backup with a wild stop costs one row, not one per chunk."""
+    df = spark.createDataFrame([(1, "t", 0, 0), (1, "t", 2**32 + 1, 2**32 // CHUNK)], "prefix_id bigint, tli string, pos bigint, chunk bigint")
+    assert [r.missing for r in continuity.gaps(df).collect()] == [2**32]
+    r = spark.createDataFrame([(1, "t", "b", 0, 2**40 - 1), (1, "t", "c", 0, None), (1, "t", "d", 5, 4)], "prefix_id bigint, tli string, name string, start_pos bigint, stop_pos bigint")
+    assert {x.name: x.covered for x in continuity.backup_cover(r, df, CHUNK).collect()} == {"b": False, "c": False, "d": False}
+
+
+def test_unfold(spark):
+    df = spark.createDataFrame([("a", 3, 30), ("b", 7, 7), ("c", 9, 8)], "k string, lo bigint, hi bigint")
+    got = sorted((r.k, r.x) for r in scale.unfold(df, "lo", "hi", "x", step=3).collect())
+    assert got == [("a", i) for i in range(3, 31)] + [("b", 7)]

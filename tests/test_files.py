@@ -128,3 +128,11 @@ def test_numbered(spark):
 def test_words_kept_out_of_the_library(word):
     root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tidemark")
     assert subprocess.run(["grep", "-rl", word, root, "--include=*.py"], capture_output=True, text=True).stdout == ""
+
+
+def test_volumes_keep_ids_of_digits(spark, tmp_path):
+    m = spark.createDataFrame([(c, "f", 10, 0) for c in ("007", "010", "7")], "cluster_id string, path string, size bigint, ord bigint")
+    files = m.select("cluster_id", "path", F.lit("data").alias("content"))
+    path = str(tmp_path / "digits")
+    sink.write_volumes(files, packing.pack(m, 100, 100), path)
+    assert sorted(r.cluster_id for r in sink.read_volumes(spark, path).collect()) == ["007", "010", "7"]

@@ -112,3 +112,15 @@ def test_push_states(spark):
     files = spark.createDataFrame([(1, s[0]), (1, s[2])], "cluster_id bigint, segment string")
     assert rows(pending.push_states(ready, files)) == [(1, s[1], "skip")]
     assert rows(pending.push_states(ready.withColumn("explicit", F.lit(True)), files)) == [(1, s[1], "error")]
+
+
+def test_dangling_tablespace_link_stays(spark):
+    df = spark.createDataFrame([("c", "pg_tblspc/7", "link", 0, "/gone", 0), ("c", "pg_tblspc/8", "dirlink", 0, "/ts", 1)], M)
+    assert [r.path for r in volumes.select_members(df).collect()] == ["pg_tblspc/7"]
+    assert [r.tablespace for r in volumes.tablespace_spec(df, F.lit("")).collect()] == ["8"]
+
+
+def test_work_dirs_are_kept_but_not_entered(spark):
+    df = spark.createDataFrame([("c", ".work", "dir", 0, None, 0), ("c", ".work/x", "file", 1, None, 1)], M)
+    assert {r.path for r in volumes.select_members(df).collect()} == {".work", ".work/x"}
+    assert {r.path for r in volumes.select_members(df, [".work"]).collect()} == {".work"}

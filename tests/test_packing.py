@@ -84,3 +84,10 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "volumes 5" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("ords, text", [([0, 1, None], "without ord"), ([0, 1, 1], "repeated")])
+def test_ord_must_be_whole_and_distinct(spark, ords, text):
+    m = spark.createDataFrame([("c", f"f{i}", 1, o) for i, o in enumerate(ords)], "cluster_id string, path string, size bigint, ord bigint")
+    with pytest.raises(Exception, match=text):
+        packing.pack(m, 10, 10).collect()

@@ -75,14 +75,15 @@ def test_rerun_deletes_nothing(spark):
 
 
 def test_messages(spark):
-    b = spark.createDataFrame([(1, "a")] + [(2, str(i)) for i in range(3)] + [(3, str(i)) for i in range(9)], "prefix_id bigint, name string")
+    found = [(1, "a")] + [(2, str(i)) for i in range(3)] + [(3, str(i)) for i in range(9)]
+    b = spark.createDataFrame([(p, "b", f"k{n}", n) for p, n in found], "prefix_id bigint, bucket string, key string, sn string")
     p = spark.createDataFrame([(0,), (1,), (2,), (3,)], "prefix_id bigint")
-    got = {r.prefix_id: (r.message, r.detail) for r in retention.retention_message(b, p, 5).collect()}
+    got = {r.prefix_id: (r.message, r.detail, r.hint) for r in retention.retention_message(b, p, 5, F.lit("s3")).collect()}
     assert got == {
-        0: ("Not deleting any data.", "No existing base backups."),
-        1: ("Retaining existing base backup.", None),
-        2: ("Retaining all 3 base backups.", None),
-        3: ("Deleting 4 oldest base backups.", "Found 9 total base backups."),
+        0: ("Not deleting any data.", "No existing base backups.", None),
+        1: ("Retaining existing base backup.", None, "Deleting keys older than s3://b/ka."),
+        2: ("Retaining all 3 base backups.", None, "Deleting keys older than s3://b/k0."),
+        3: ("Deleting 4 oldest base backups.", "Found 9 total base backups.", "Deleting keys older than s3://b/k4."),
     }
 
 
@@ -95,7 +96,19 @@ def test_pages_hold_every_key_once(spark):
     assert len(got) == 20_004 and len({(r.bucket, r.key) for r in got}) == 20_004
     assert sorted(by_page.values()) == [1, 3] + [1000] * 20
     assert sorted(r.key_number for r in got if r.bucket == "hot") == list(range(1, 20_002))
-    assert retention.page_check(retention.delete_pages(plan)).where("not one_bucket or keys > 1000").count() == 0
+    checked = retention.page_check(retention.page_ids(retention.delete_pages(plan))).collect()
+    assert len(checked) == 22 and all(r.one_bucket and r.keys <= 1000 for r in checked)
+    mixed = spark.createDataFrame([(0, "a"), (0, "b")], "page_id bigint, bucket string")
+    assert not retention.page_check(mixed).first().one_bucket
+
+
+def test_between_is_the_difference_of_two_plans(spark):
+    _, df = inventory(spark, 7)
+    c = classify.classify_keys(df)
+    b = catalog.complete_backups(c)
+    want = retention.plan_difference(retention.delete_retain(c, b, 1), retention.delete_retain(c, b, 2))
+    got = retention.delete_between(c, retention.retention_horizon(b, 2), retention.retention_horizon(b, 1))
+    assert rows(got.select("prefix_id", "key")) == rows(want.select("prefix_id", "key"))
 
 
 def test_everything_and_report(spark):

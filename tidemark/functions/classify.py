@@ -90,15 +90,6 @@ def wal_matches(name) -> Column:
     )
 
 
-REASON_DETAIL = {
-    "depth": "it appears to be at an unexpected depth.",
-    "sentinel name": "it appears not to match the base-backup sentinel pattern.",
-    "version name": "it appears not to match the extended-version backup pattern.",
-    "volume name": "it appears not to match the base-backup partition pattern.",
-    "wal name": "it appears not to match the WAL file naming pattern.",
-}
-
-
 def reason_detail(reason) -> Column:
-    pairs = [F.lit(x) for kv in REASON_DETAIL.items() for x in kv]
+    pairs = [F.lit(x) for kv in fixed.REASON_DETAIL.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), names.col(reason))

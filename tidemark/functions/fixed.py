@@ -33,7 +33,7 @@ VOLUME_MAX_MEMBERS = 6144
 
 # ---- Fixed values: cluster files ---------------------------------------------------------
 TOP_DIRS_NOT_ENTERED = ("pg_xlog", "pg_log", "pg_replslot", "pg_wal")
-DIRS_NOT_ENTERED = ("pgsql_tmp", "pg_stat_tmp", ".wal-e")
+DIRS_NOT_ENTERED = ("pgsql_tmp", "pg_stat_tmp")
 DIR_DROPPED = "lost+found"
 TOP_FILES_DROPPED = (
     "postmaster.pid",
@@ -59,6 +59,32 @@ THING_TEXT = {
 EVERYTHING_TEXT = {"base": "part of a base backup", "wal": "part of wal logs"}
 DRY_RUN_HINT = "This is only a dry run -- no actual data is being deleted"
 
+# ---- Fixed values: texts about unexpected keys -------------------------------------------
+UNEXPECTED_MSG = "skipping non-qualifying key in 'delete before'"
+UNEXPECTED_DETAIL = 'The unexpected key is "%s", and %s'
+REASON_DETAIL = {
+    "depth": "it appears to be at an unexpected depth.",
+    "sentinel name": "it appears not to match the base-backup sentinel pattern.",
+    "version name": "it appears not to match the extended-version backup pattern.",
+    "volume name": "it appears not to match the base-backup partition pattern.",
+    "wal name": "it appears not to match the WAL file naming pattern.",
+}
+
+# ---- Fixed values: texts of retention ----------------------------------------------------
+RETAIN_NONE = "Not deleting any data."
+RETAIN_NONE_DETAIL = "No existing base backups."
+RETAIN_ONE = "Retaining existing base backup."
+RETAIN_ALL = "Retaining all %d base backups."
+RETAIN_SOME = "Deleting %d oldest base backups."
+RETAIN_SOME_DETAIL = "Found %d total base backups."
+RETAIN_HINT = "Deleting keys older than %s."
+
+# ---- Fixed values: text of the volume limit ----------------------------------------------
+TOO_BIG_HINT = (
+    "There is a file in the postgres database directory that is larger than %d bytes. If no such file exists, "
+    "please report this as a bug. In particular, check %s, which appears to be %d bytes."
+)
+
 # ---- Fixed values: action and state words of the archive log -----------------------------
 ACTION_PUSH = "push-wal"
 ACTION_FETCH = "wal-fetch"

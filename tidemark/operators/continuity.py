@@ -126,63 +126,36 @@ def missing_of(expected: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def gap_segments(found: DataFrame, step=4096) -> DataFrame:
-    """Each missing segment of each gap; long gaps are unfolded in two steps to keep arrays short."""
-    length = F.col("gap_to") - F.col("gap_from")
-    blocks = found.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(length / step))))
-    low = F.col("gap_from") + F.col("_b") * step
-    high = F.least(low + step - 1, F.col("gap_to"))
-    return blocks.select(*LINE, F.explode(F.sequence(low, high)).alias("pos")).withColumn(
-        "segment", F.concat("tli", names.sn_of_position("pos"))
+    """Each missing segment of each gap; long gaps are cut in steps, so that no array is longer than `step` + 1."""
+    return scale.unfold(found, "gap_from", "gap_to", "pos", step).select(
+        *LINE, "pos", F.concat("tli", names.sn_of_position("pos")).alias("segment")
     )
 
 
 def backup_cover(ranges: DataFrame, positions: DataFrame, chunk_segments=scale.CHUNK_SEGMENTS) -> DataFrame:
     """Is every segment from start to stop of a backup archived on the backup's timeline?
 
-    `ranges` has prefix_id, tli, name, start_pos, stop_pos. A range is cut at chunk
-    borders; each piece looks up, inside its chunk, the run that begins at or
-    before it. No pairs of ranges and runs are formed.
+    `ranges` has prefix_id, tli, name, start_pos, stop_pos; a range that ends before
+    it starts, or without a stop, is not covered. Each distinct start looks up the run that begins at or
+    before it and reaches as far as that run goes, so a range costs one row however
+    long it is, and a chunk of the time line never holds more rows than twice its segments.
     """
-    first, last = scale.chunk_of("start_pos", chunk_segments), scale.chunk_of("stop_pos", chunk_segments)
-    piece = (
-        ranges.where("start_pos <= stop_pos")
-        .withColumn("chunk", F.explode(F.sequence(first, last)))
-        .select(
-            *LINE,
-            "chunk",
-            F.greatest("start_pos", F.col("chunk") * chunk_segments).alias("at"),
-            F.lit(1).alias("is_piece"),
-            F.lit(None).cast("bigint").alias("run_to"),
-            F.least("stop_pos", F.col("chunk") * chunk_segments + (chunk_segments - 1)).alias("piece_to"),
-            "name",
-        )
-    )
-    runs = partial_islands(positions).select(
-        *LINE,
-        "chunk",
-        F.col("from_pos").alias("at"),
-        F.lit(0).alias("is_piece"),
-        F.col("to_pos").alias("run_to"),
-        F.lit(None).cast("bigint").alias("piece_to"),
-        F.lit(None).cast("string").alias("name"),
-    )
-    w = Window.partitionBy(*LINE, "chunk").orderBy("at", "is_piece").rowsBetween(Window.unboundedPreceding, 0)
-    looked_up = (
-        runs.unionByName(piece)
-        .withColumn("reach", F.last("run_to", ignorenulls=True).over(w))
-        .where("is_piece = 1")
-    )
-    covered = looked_up.groupBy("prefix_id", "tli", "name").agg(
-        F.bool_and(F.coalesce(F.col("reach") >= F.col("piece_to"), F.lit(False))).alias("covered")
-    )
-    return ranges.join(covered, ["prefix_id", "tli", "name"], "left").select(
+    starts = ranges.where("start_pos <= stop_pos").select(*LINE, F.col("start_pos").alias("at")).distinct()
+    looking = starts.select(*LINE, "at", F.lit(1).alias("is_start"), F.lit(None).cast("bigint").alias("run_to"))
+    runs = islands(positions, chunk_segments).select(
+        *LINE, F.col("from_pos").alias("at"), F.lit(0).alias("is_start"), F.col("to_pos").alias("run_to")
+    )
+    both = runs.unionByName(looking).withColumn("chunk", scale.chunk_of("at", chunk_segments))
+    filled = scale.latest_value(both, LINE, ["at", "is_start"], "chunk", "run_to", "reach")
+    reached = filled.where("is_start = 1").select(*LINE, F.col("at").alias("start_pos"), "reach")
+    return ranges.join(reached, [*LINE, "start_pos"], "left").select(
         "prefix_id",
         "tli",
         "name",
         "start_pos",
         "stop_pos",
         (F.col("stop_pos") - F.col("start_pos") + 1).alias("expected"),
-        F.coalesce("covered", F.lit(False)).alias("covered"),
+        F.coalesce(F.col("reach") >= F.col("stop_pos"), F.lit(False)).alias("covered"),
     )
 
 

@@ -82,7 +82,7 @@ def pack(
 ) -> DataFrame:
     """Add `volume` (from 0) to a manifest, per cluster in `ord` order.
 
-    `ord` is the listing number: distinct within a cluster. A member above
+    `ord` is the listing number: a null or repeated one within a cluster is an error. A member above
     `max_bytes` is an error (see `too_big` for the list of them). Directories and
     links count as members of size 0. A first member of exactly `max_bytes` leaves
     volume 0 empty, as the rule says.
@@ -95,9 +95,12 @@ def pack(
         F.when(size > max_bytes, F.raise_error(F.concat(F.lit("member too big: "), "path")).cast("bigint"))
         .otherwise(size)
         .alias("size"),
-        F.floor(F.col("ord") / block).alias("_chunk"),
+        F.floor(F.when(F.col("ord").isNull(), F.raise_error("member without ord").cast("bigint")).otherwise(F.col("ord")) / block).alias("_chunk"),
     )
-    items = scale.running_totals(slim, ["cluster_id"], ["ord"], "_chunk", "size").drop("_chunk")
+    summed = scale.running_totals(slim, ["cluster_id"], ["ord"], "_chunk", "size")
+    before = F.lag("ord").over(Window.partitionBy("cluster_id", "_chunk").orderBy("ord"))
+    once = F.when(before == F.col("ord"), F.raise_error("ord repeated in a cluster").cast("bigint")).otherwise(F.col("size"))
+    items = summed.withColumn("size", once).drop("_chunk")
     blocks = _blocks(items, block, max_members)
     tables = (
         blocks.groupBy("cluster_id", "blk")
@@ -229,8 +232,7 @@ def too_big(manifest: DataFrame, max_bytes=fixed.VOLUME_MAX_BYTES) -> DataFrame:
         "path",
         "size",
         F.format_string(
-            "There is a file in the postgres database directory that is larger than %d bytes. If no such file exists, "
-            "please report this as a bug. In particular, check %s, which appears to be %d bytes.",
+            fixed.TOO_BIG_HINT,
             F.lit(max_bytes),
             "path",
             "size",

@@ -1,11 +1,13 @@
 """Deletion plans. Nothing is ever deleted: the result is a table of keys."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import scale
 from tidemark.functions import classify, fixed, names
 
+QUARANTINE_HINT = "No rule of the archive layout names this key, so it is left alone. Look where it comes from."
+
 
 def retention_horizon(backups: DataFrame, keep: int) -> DataFrame:
     """Oldest of the `keep` newest complete backups of each prefix (of all, if there are fewer).
@@ -23,9 +25,18 @@ def retention_horizon(backups: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def retention_message(backups: DataFrame, prefixes: DataFrame, keep: int) -> DataFrame:
-    """What `retain` would say for each prefix, including those without any backup."""
-    found = backups.groupBy("prefix_id").agg(F.count(F.lit(1)).alias("n"))
+def retention_message(backups: DataFrame, prefixes: DataFrame, keep: int, scheme="scheme") -> DataFrame:
+    """What `retain` would say for each prefix, including those without any backup.
+
+    The hint names the horizon backup; `scheme` is a column of the backups or a literal.
+    """
+    url = names.render_url(names.col(scheme), F.col("bucket"), F.col("key"))
+    placed = scale.join_small(
+        backups.select("prefix_id", F.col("key"), url.alias("_url")), retention_horizon(backups, keep), "prefix_id"
+    )
+    found = placed.groupBy("prefix_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.when(F.col("key") == F.col("horizon_key"), F.col("_url")), True).alias("_url")
+    )
     total = scale.join_small(prefixes.select("prefix_id"), found, "prefix_id", "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )
@@ -34,14 +45,13 @@ def retention_message(backups: DataFrame, prefixes: DataFrame, keep: int) -> Dat
         "prefix_id",
         n.alias("backups"),
         F.greatest(n - keep, F.lit(0)).alias("deleting"),
-        F.when(n == 0, "Not deleting any data.")
-        .when(n > keep, F.format_string("Deleting %d oldest base backups.", n - keep))
-        .when(n == 1, "Retaining existing base backup.")
-        .otherwise(F.format_string("Retaining all %d base backups.", n))
+        F.when(n == 0, fixed.RETAIN_NONE)
+        .when(n > keep, F.format_string(fixed.RETAIN_SOME, n - keep))
+        .when(n == 1, fixed.RETAIN_ONE)
+        .otherwise(F.format_string(fixed.RETAIN_ALL, n))
         .alias("message"),
-        F.when(n == 0, "No existing base backups.")
-        .when(n > keep, F.format_string("Found %d total base backups.", n))
-        .alias("detail"),
+        F.when(n == 0, fixed.RETAIN_NONE_DETAIL).when(n > keep, F.format_string(fixed.RETAIN_SOME_DETAIL, n)).alias("detail"),
+        F.when(n > 0, F.format_string(fixed.RETAIN_HINT, "_url")).alias("hint"),
     )
 
 
@@ -80,9 +90,8 @@ def horizons_of_names(requests: DataFrame) -> DataFrame:
 
 def delete_everything(classified: DataFrame) -> DataFrame:
     """All keys in both areas, whatever they look like."""
-    base = classified.where("area = 'base'").withColumn("what", F.lit(fixed.EVERYTHING_TEXT["base"]))
-    wal = classified.where("area = 'wal'").withColumn("what", F.lit(fixed.EVERYTHING_TEXT["wal"]))
-    return base.unionByName(wal)
+    what = F.when(F.col("area") == "base", fixed.EVERYTHING_TEXT["base"]).otherwise(fixed.EVERYTHING_TEXT["wal"])
+    return classified.where("area in ('base', 'wal')").withColumn("what", what)
 
 
 def delete_old_versions(inventory: DataFrame, path_prefix="path_prefix") -> DataFrame:
@@ -127,9 +136,17 @@ def delete_pages(plan: DataFrame, page_keys=fixed.DELETE_PAGE_KEYS) -> DataFrame
     return rank.withColumn("page", F.floor((F.col("key_number") - 1) / page_keys).cast("bigint"))
 
 
+def page_ids(pages: DataFrame) -> DataFrame:
+    """Add `page_id`, the number of a page over all buckets; the offsets are one row per bucket."""
+    counts = pages.groupBy("bucket").agg((F.max("page") + 1).alias("_n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return scale.join_small(pages, first, "bucket").withColumn("page_id", F.col("_first") + F.col("page")).drop("_first")
+
+
 def page_check(pages: DataFrame) -> DataFrame:
-    """Pages by size and number of buckets; a page may only hold keys of one bucket."""
-    return pages.groupBy("bucket", "page").agg(
+    """Pages by size; a page, known by its id alone, may only hold keys of one bucket."""
+    return pages.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("keys"),
         (F.min("bucket") == F.max("bucket")).alias("one_bucket"),
     )
@@ -144,6 +161,22 @@ def mixed_pages(batches: DataFrame) -> DataFrame:
     )
 
 
+def delete_between(classified: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
+    """Keys that the horizons `high` delete and the horizons `low` do not: one sweep, no shuffle of keys.
+
+    A prefix without a horizon in `low` deletes nothing there.
+    """
+    both = high.select("prefix_id", F.col("horizon_sn").alias("_high")).join(
+        low.select("prefix_id", F.col("horizon_sn").alias("_low")), "prefix_id", "left"
+    )
+    placed = classified.where(F.col("thing").isin(*classify.DELETABLE))
+    return (
+        scale.join_small(placed, both, "prefix_id")
+        .where((F.col("sn") < F.col("_high")) & (F.col("_low").isNull() | (F.col("sn") >= F.col("_low"))))
+        .drop("_high", "_low")
+    )
+
+
 def plan_difference(first: DataFrame, second: DataFrame) -> DataFrame:
     """Keys of the first plan that the second does not have."""
     return first.join(second.select("prefix_id", "key"), ["prefix_id", "key"], "left_anti")
@@ -155,12 +188,14 @@ def after_deletion(inventory: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def quarantine(classified: DataFrame, scheme="scheme") -> DataFrame:
-    """Unexpected keys with the reason and the warning text."""
+    """Unexpected keys with the reason and the warning: message, detail and a hint in our own words."""
     url = names.render_url(names.col(scheme), F.col("bucket"), F.col("key"))
     return classified.where("thing = 'unexpected'").select(
         "prefix_id",
         "key",
         "area",
         "reason",
-        F.concat(F.lit('The unexpected key is "'), url, F.lit('", and '), classify.reason_detail("reason")).alias("detail"),
+        F.lit(fixed.UNEXPECTED_MSG).alias("msg"),
+        F.format_string(fixed.UNEXPECTED_DETAIL, url, classify.reason_detail("reason")).alias("detail"),
+        F.lit(QUARANTINE_HINT).alias("hint"),
     )

@@ -7,7 +7,7 @@ from tidemark import scale
 from tidemark.functions import fixed, names
 
 
-def select_members(manifest: DataFrame) -> DataFrame:
+def select_members(manifest: DataFrame, work_dirs=()) -> DataFrame:
     """Keep the entries a backup takes. `path` is relative to the cluster directory.
 
     Some directories are kept as entries but not entered, some are dropped
@@ -15,19 +15,21 @@ def select_members(manifest: DataFrame) -> DataFrame:
     or dirlink (a link to a directory, which is only taken where it stands for a
     directory that is not entered). Behind a tablespace link only its own
     temporary directory is not entered, a directory is an entry of its own only if
-    it holds no file, and the link itself is replaced by what lies behind it.
+    it holds no file, and the link itself is replaced by what lies behind it. A
+    dangling link stays as an entry. `work_dirs` names directories of the
+    archiver itself; like temporary ones they are kept, but not entered.
     """
     parts = F.split("path", "/")
     below = F.col("path").startswith(fixed.TABLESPACE_DIR + "/")
     space = F.when(below, F.get(parts, F.lit(1)))
     links = (
-        manifest.where(below & F.col("ftype").isin("link", "dirlink") & (F.size(parts) == 2))
+        manifest.where(below & (F.col("ftype") == "dirlink") & (F.size(parts) == 2))
         .select("cluster_id", space.alias("_space"), F.lit(True).alias("_linked"))
         .distinct()
     )
     marked = scale.join_small(manifest.withColumn("_space", space), links, ["cluster_id", "_space"], "left")
     linked = F.coalesce("_linked", F.lit(False))
-    ruled = marked.where(F.when(linked, space_rule("path", "ftype")).otherwise(walk_rule("path", "ftype")))
+    ruled = marked.where(F.when(linked, space_rule("path", "ftype")).otherwise(walk_rule("path", "ftype", work_dirs)))
     space_dir = linked & (F.col("ftype") == "dir") & (names.base_name("path") != fixed.TABLESPACE_DIR_NOT_ENTERED)
     holds = (
         ruled.where(linked & (F.col("ftype") != "dir")).select("cluster_id", names.dir_name("path").alias("path")).distinct()
@@ -41,18 +43,19 @@ def select_members(manifest: DataFrame) -> DataFrame:
     return ruled.where(~space_dir).select(*manifest.columns).unionByName(dirs.select(*manifest.columns))
 
 
-def walk_rule(path, ftype) -> Column:
+def walk_rule(path, ftype, work_dirs=()) -> Column:
     """Is an entry of the main walk taken?"""
     p, kind = names.col(path), names.col(ftype)
     parts = F.split(p, "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
     top = F.size(parts) == 1
+    not_entered = (*fixed.DIRS_NOT_ENTERED, *work_dirs)
     last = F.element_at(parts, -1)
     in_top = F.get(parts, F.lit(0)).isin(*fixed.TOP_DIRS_NOT_ENTERED) & ~top
-    in_any = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in fixed.DIRS_NOT_ENTERED]))
+    in_any = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in not_entered]))
     lost = F.array_contains(dirs, fixed.DIR_DROPPED) | ((last == fixed.DIR_DROPPED) & (kind == "dir"))
     named = top & last.isin(*fixed.TOP_FILES_DROPPED) & (kind != "dir")
-    stands_for_dir = last.isin(*fixed.DIRS_NOT_ENTERED) | (top & last.isin(*fixed.TOP_DIRS_NOT_ENTERED))
+    stands_for_dir = last.isin(*not_entered) | (top & last.isin(*fixed.TOP_DIRS_NOT_ENTERED))
     return ~in_top & ~in_any & ~lost & ~named & ((kind != "dirlink") | stands_for_dir)
 
 
@@ -68,14 +71,14 @@ def space_rule(path, ftype) -> Column:
 
 
 def tablespace_spec(manifest: DataFrame, base_prefix) -> DataFrame:
-    """Links under the tablespace directory as (tablespace, loc, link); loc ends in a slash.
+    """Links to directories under the tablespace directory as (tablespace, loc, link); loc ends in a slash.
 
     `path` is absolute here; the link is relative to the base prefix.
     """
     rel = names.member_name("path", base_prefix)
     loc = F.when(F.col("link_target").endswith("/"), F.col("link_target")).otherwise(F.concat("link_target", F.lit("/")))
     return (
-        manifest.where(F.col("ftype").isin("link", "dirlink"))
+        manifest.where(F.col("ftype") == "dirlink")
         .withColumn("link", rel)
         .where(F.col("link").rlike("^" + fixed.TABLESPACE_DIR + "/[^/]+$"))
         .select("cluster_id", names.base_name("path").alias("tablespace"), loc.alias("loc"), "link")

@@ -13,8 +13,9 @@ from tidemark import scale
 from tidemark.functions import classify, logtext, names
 
 PREFIXES = 4
-MANIFEST_MAX_BYTES = 100_000
-MANIFEST_MAX_MEMBERS = 24
+#: Volume limits of the queries: no given document is longer, and each of the two closes some volumes.
+MANIFEST_MAX_BYTES = 250_000
+MANIFEST_MAX_MEMBERS = 100
 
 
 _SCHEMAS: dict = {}
@@ -196,7 +197,10 @@ TREE_NAMES = ("postgresql.conf", "postmaster.pid", "PG_VERSION", "pgsql_tmp")
 
 
 def cluster_tree(spark, sf_dir) -> DataFrame:
-    """A cluster per customer; each order is an entry whose folder and kind follow from its columns."""
+    """A cluster per customer; each order is an entry whose folder and kind follow from its columns.
+
+    Each has a tablespace link; that of every seventh customer leads nowhere.
+    """
     k = F.col("o_orderkey")
     where = F.get(F.array(*[F.lit(d) for d in TREE_DIRS]), (k % len(TREE_DIRS)).cast("int"))
     plain = F.concat(F.lit("f"), k.cast("string"))
@@ -212,16 +216,16 @@ def cluster_tree(spark, sf_dir) -> DataFrame:
     )
     links = (
         table(spark, sf_dir, "orders")
-        .select(cluster.alias("cluster_id"))
+        .select(cluster.alias("cluster_id"), F.when(F.col("o_custkey") % 7 == 0, "link").otherwise("dirlink").alias("ftype"))
         .distinct()
-        .select("cluster_id", F.lit("pg_tblspc/7").alias("path"), F.lit("link").alias("ftype"), F.lit(-1).cast("bigint").alias("ord"))
+        .select("cluster_id", F.lit("pg_tblspc/7").alias("path"), "ftype", F.lit(-1).cast("bigint").alias("ord"))
     )
     return entries.unionByName(links).select(
         "cluster_id",
         "path",
         "ftype",
         F.when(F.col("ftype") == "file", F.col("ord") * 3).otherwise(0).cast("bigint").alias("size"),
-        F.when(F.col("ftype") == "link", F.concat(F.lit("/data/"), "cluster_id")).alias("link_target"),
+        F.when(F.col("ftype").isin("link", "dirlink"), F.concat(F.lit("/data/"), "cluster_id")).alias("link_target"),
         "ord",
     )
 

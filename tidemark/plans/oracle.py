@@ -94,6 +94,8 @@ VIEWS = {
     "horizon": "SELECT prefix_id, sn AS horizon_sn, key AS horizon_key, least(n, 5) AS retained FROM ranked_backups WHERE rn = least(n, 5)",
     "retain": """
         SELECT c.* FROM cl c JOIN horizon h USING (prefix_id) WHERE c.sn IS NOT NULL AND c.sn < h.horizon_sn""",
+    "remaining": """
+        SELECT c.prefix_id, c.key, c.thing, c.sn FROM cl c LEFT JOIN retain r ON r.prefix_id = c.prefix_id AND r.key = c.key WHERE r.key IS NULL""",
     "pages": """
         SELECT bucket, prefix_id, key, row_number() OVER (PARTITION BY bucket
             ORDER BY CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) % 4096, key, prefix_id) AS key_number FROM retain""",
@@ -110,15 +112,15 @@ VIEWS = {
     "manifest": """
         SELECT source AS cluster_id, lang || '/' || doc_id AS path, n_chars AS size, doc_id AS ord FROM documents""",
     "fit": """
-        SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS i FROM manifest WHERE size <= 100000""",
+        SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS i FROM manifest""",
     "fold": """
-        SELECT cluster_id, path, size, ord, i, CASE WHEN size >= 100000 THEN 1 ELSE 0 END AS volume, size AS bytes, 1 AS members
+        SELECT cluster_id, path, size, ord, i, CASE WHEN size >= 250000 THEN 1 ELSE 0 END AS volume, size AS bytes, 1 AS members
         FROM fit WHERE i = 1
         UNION ALL
         SELECT f.cluster_id, f.path, f.size, f.ord, f.i,
-               CASE WHEN p.bytes + f.size >= 100000 OR p.members >= 24 THEN p.volume + 1 ELSE p.volume END,
-               CASE WHEN p.bytes + f.size >= 100000 OR p.members >= 24 THEN f.size ELSE p.bytes + f.size END,
-               CASE WHEN p.bytes + f.size >= 100000 OR p.members >= 24 THEN 1 ELSE p.members + 1 END
+               CASE WHEN p.bytes + f.size >= 250000 OR p.members >= 100 THEN p.volume + 1 ELSE p.volume END,
+               CASE WHEN p.bytes + f.size >= 250000 OR p.members >= 100 THEN f.size ELSE p.bytes + f.size END,
+               CASE WHEN p.bytes + f.size >= 250000 OR p.members >= 100 THEN 1 ELSE p.members + 1 END
         FROM fold p JOIN fit f ON f.cluster_id = p.cluster_id AND f.i = p.i + 1""",
     "t0": """
         SELECT 'c' || o_custkey AS cluster_id,
@@ -129,7 +131,7 @@ VIEWS = {
         FROM orders""",
     "tree": """
         SELECT cluster_id, path, min(ftype) AS ftype, string_split(path, '/') AS parts FROM t0 GROUP BY cluster_id, path
-        UNION ALL SELECT DISTINCT 'c' || o_custkey, 'pg_tblspc/7', 'link', ['pg_tblspc', '7'] FROM orders""",
+        UNION ALL SELECT DISTINCT 'c' || o_custkey, 'pg_tblspc/7', CASE WHEN o_custkey % 7 = 0 THEN 'link' ELSE 'dirlink' END, ['pg_tblspc', '7'] FROM orders""",
     "status": """
         SELECT o_custkey % 4 AS cluster_id,
                printf('%08X', 1 + (o_custkey % 4) % 2) || printf('%08X', o_orderkey // 256) || printf('%08X', o_orderkey % 256) AS segment,
@@ -244,7 +246,9 @@ _SQL = {
         SELECT prefix_id, key, size, strftime(ts, {ISO}) AS last_modified, CAST(len(string_split(key, '/')) AS INTEGER) AS depth,
                area, thing, tli, sn FROM cl""",
     "quarantine": f"""
-        SELECT prefix_id, key, area, reason, 'The unexpected key is "s3://' || bucket || '/' || key || '", and ' || {_DETAIL} AS detail
+        SELECT prefix_id, key, area, reason, 'skipping non-qualifying key in ''delete before''' AS msg,
+               'The unexpected key is "s3://' || bucket || '/' || key || '", and ' || {_DETAIL} AS detail,
+               'No rule of the archive layout names this key, so it is left alone. Look where it comes from.' AS hint
         FROM classified WHERE thing = 'unexpected'""",
     "classifier_exclusive": f"""
         SELECT prefix_id, max(m) AS most_matches, max(m) <= 1 AS exclusive FROM (
@@ -311,9 +315,10 @@ _SQL = {
         SELECT prefix_id, n AS backups, greatest(n - 5, 0) AS deleting,
                CASE WHEN n = 0 THEN 'Not deleting any data.' WHEN n > 5 THEN 'Deleting ' || n - 5 || ' oldest base backups.'
                     WHEN n = 1 THEN 'Retaining existing base backup.' ELSE 'Retaining all ' || n || ' base backups.' END AS message,
-               CASE WHEN n = 0 THEN 'No existing base backups.' WHEN n > 5 THEN 'Found ' || n || ' total base backups.' END AS detail
+               CASE WHEN n = 0 THEN 'No existing base backups.' WHEN n > 5 THEN 'Found ' || n || ' total base backups.' END AS detail,
+               CASE WHEN n > 0 THEN 'Deleting keys older than s3://bucket' || prefix_id % 2 || '/' || horizon_key || '.' END AS hint
         FROM (SELECT p.prefix_id, count(k.name) AS n FROM (SELECT DISTINCT c_custkey % 4 AS prefix_id FROM customer) p
-              LEFT JOIN backups k USING (prefix_id) GROUP BY p.prefix_id)""",
+              LEFT JOIN backups k USING (prefix_id) GROUP BY p.prefix_id) LEFT JOIN horizon USING (prefix_id)""",
     "delete_before": """
         SELECT c.prefix_id, c.key, c.size, c.thing, c.sn FROM cl c
         JOIN (SELECT prefix_id, max_by(sn, (ts, key)) AS h FROM backups GROUP BY prefix_id) l USING (prefix_id)
@@ -333,13 +338,19 @@ _SQL = {
         FROM old_keys GROUP BY ALL""",
     "delete_pages": "SELECT bucket, prefix_id, key, key_number, (key_number - 1) // 1000 AS page FROM pages",
     "delete_page_sizes": """
-        SELECT bucket, (key_number - 1) // 1000 AS page, count(*) AS keys, true AS one_bucket FROM pages GROUP BY 1, 2""",
+        SELECT first_page + (key_number - 1) // 1000 AS page_id, count(*) AS keys, count(DISTINCT bucket) = 1 AS one_bucket
+        FROM pages JOIN (SELECT bucket, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_page
+                         FROM (SELECT bucket, (max(key_number) - 1) // 1000 + 1 AS n FROM pages GROUP BY bucket)) USING (bucket)
+        GROUP BY 1""",
     "mixed_pages": """
         SELECT l_orderkey // 1000 AS page, count(*) AS keys, count(DISTINCT l_orderkey // 1500) AS buckets,
                count(DISTINCT l_orderkey // 1500) = 1 AS homogeneous FROM lineitem GROUP BY 1""",
     "plan_rerun": """
-        SELECT count(*) AS still_deleted FROM (SELECT prefix_id, key FROM retain) r
-        WHERE NOT EXISTS (SELECT 1 FROM retain p WHERE p.prefix_id = r.prefix_id AND p.key = r.key)""",
+        SELECT count(*) AS still_deleted FROM remaining JOIN (
+            SELECT prefix_id, min(sn) AS again FROM (
+                SELECT prefix_id, sn, row_number() OVER (PARTITION BY prefix_id ORDER BY sn DESC, key) AS rn FROM remaining WHERE thing = 'sentinel')
+            WHERE rn <= 5 GROUP BY prefix_id) USING (prefix_id)
+        WHERE sn < again""",
     "plan_difference": """
         SELECT r.prefix_id, r.key, r.thing FROM retain r
         JOIN (SELECT prefix_id, min(sn) AS h FROM ranked_backups WHERE rn <= 20 GROUP BY prefix_id) h20 USING (prefix_id)
@@ -401,20 +412,22 @@ _SQL = {
         SELECT cluster_id, printf('part_%08d.tar.lzo', volume) AS volume_name, path || chr(9) || size AS line FROM fold""",
     "manifest_filter": """
         SELECT t.cluster_id, t.path, t.ftype FROM tree t
+        LEFT JOIN (SELECT cluster_id AS linked FROM tree WHERE ftype = 'dirlink') l ON t.cluster_id = l.linked
         WHERE CASE
-            WHEN parts[1] = 'pg_tblspc' AND len(parts) = 2 THEN false
-            WHEN parts[1] = 'pg_tblspc' AND len(parts) > 2 THEN
+            WHEN parts[1] = 'pg_tblspc' AND len(parts) = 2 THEN ftype <> 'dirlink'
+            WHEN parts[1] = 'pg_tblspc' AND len(parts) > 2 AND linked IS NOT NULL THEN
                 NOT list_contains(parts[3:len(parts) - 1], 'pgsql_tmp')
                 AND (ftype <> 'dir' OR parts[-1] = 'pgsql_tmp' OR NOT EXISTS (
                     SELECT 1 FROM tree f WHERE f.cluster_id = t.cluster_id AND f.ftype <> 'dir'
                        AND regexp_replace(f.path, '/[^/]*$', '') = t.path))
             ELSE NOT (len(parts) > 1 AND parts[1] IN ('pg_xlog', 'pg_log', 'pg_replslot', 'pg_wal'))
-                AND NOT list_has_any(parts[1:len(parts) - 1], ['pgsql_tmp', 'pg_stat_tmp', '.wal-e'])
+                AND NOT list_has_any(parts[1:len(parts) - 1], ['pgsql_tmp', 'pg_stat_tmp'])
                 AND NOT list_contains(parts[1:len(parts) - 1], 'lost+found') AND NOT (parts[-1] = 'lost+found' AND ftype = 'dir')
                 AND NOT (len(parts) = 1 AND ftype <> 'dir' AND parts[1] IN ('postmaster.pid', 'postmaster.opts', 'postgresql.conf',
                          'pg_hba.conf', 'recovery.conf', 'recovery.done', 'pg_ident.conf', 'promote')) END""",
     "tablespace_spec": """
-        SELECT DISTINCT 'c' || o_custkey AS cluster_id, '7' AS tablespace, '/data/c' || o_custkey || '/' AS loc, 'pg_tblspc/7' AS link FROM orders""",
+        SELECT DISTINCT 'c' || o_custkey AS cluster_id, '7' AS tablespace, '/data/c' || o_custkey || '/' AS loc, 'pg_tblspc/7' AS link FROM orders
+        WHERE o_custkey % 7 <> 0""",
     "member_names": """
         SELECT cluster_id, path AS member, regexp_extract(path, '[^/]*$') AS base_name,
                '/pg/' || cluster_id || '/' || regexp_replace(path, '/[^/]*$', '') AS dir_name FROM manifest""",
@@ -477,7 +490,7 @@ _SQL = {
     "log_parse": "SELECT tt AS time, pid, action, key, seg, prefix, state, rate FROM typed",
     "log_pairs": """
         SELECT key, value, count(*) AS lines FROM (
-            SELECT 'pid' AS key, CAST(pid AS VARCHAR) AS value FROM typed UNION ALL SELECT 'action', action FROM typed
+            SELECT 'time' AS key, tt AS value FROM typed UNION ALL SELECT 'pid', CAST(pid AS VARCHAR) FROM typed UNION ALL SELECT 'action', action FROM typed
             UNION ALL SELECT 'key', key FROM typed UNION ALL SELECT 'prefix', prefix FROM typed UNION ALL SELECT 'seg', seg FROM typed
             UNION ALL SELECT 'state', state FROM typed UNION ALL SELECT 'rate', CAST(CAST(rate AS BIGINT) AS VARCHAR) FROM typed)
         WHERE value IS NOT NULL GROUP BY key, value""",

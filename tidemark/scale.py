@@ -182,6 +182,20 @@ def numbered(df: DataFrame, keys, order, spread_on: str, out="number", pieces=40
     )
 
 
+def unfold(df: DataFrame, low: str, high: str, out: str, step=4096) -> DataFrame:
+    """One row per whole number from `low` to `high`, both included; no array is longer than `step` + 1.
+
+    Ranges are cut four times by powers of `step`, which covers spans below step ** 4.
+    """
+    df = df.withColumn("_lo", F.col(low).cast("bigint")).withColumn("_hi", F.col(high).cast("bigint")).where("_lo <= _hi")
+    for width in (step**3, step**2, step, 1):
+        cut = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_hi") - F.col("_lo")) / width))
+        df = df.withColumn("_lo", F.explode(F.transform(cut, lambda i: F.col("_lo") + i * width))).withColumn(
+            "_hi", F.least(F.col("_hi"), F.col("_lo") + (width - 1))
+        )
+    return df.withColumn(out, F.col("_lo")).drop("_lo", "_hi")
+
+
 def chunk_of(position, size=CHUNK_SEGMENTS) -> Column:
     """Chunk number of a dense position; at most `size` distinct positions share one."""
     p = F.col(position) if isinstance(position, str) else position

@@ -68,9 +68,13 @@ def write_volumes(files: DataFrame, packed: DataFrame, path: str) -> None:
     )
 
 
-def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """Members of all volumes; filters on cluster_id and volume prune folders."""
-    return spark.read.parquet(path)
+def read_volumes(spark: SparkSession, path: str, fields="path string, content string, ord bigint") -> DataFrame:
+    """Members of all volumes; filters on cluster_id and volume prune folders.
+
+    `fields` is the schema of the members. Cluster ids are always text, so that
+    ids made of digits keep their leading zeros.
+    """
+    return spark.read.schema(f"{fields}, cluster_id string, volume bigint").parquet(path)
 
 
 def log_lines(events: DataFrame) -> DataFrame:
