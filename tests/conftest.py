@@ -15,7 +15,3 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

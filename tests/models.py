@@ -6,6 +6,11 @@ import re
 HEX24 = "[0-9A-F]{24}"
 
 
+def rows(df):
+    """All rows of a small result, in a fixed order."""
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def classify(path_prefix, key):
     for area in ("basebackups_005/", "wal_005/"):
         root = path_prefix + area

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from models import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify

@@ -2,7 +2,7 @@ import random
 
 import models
 import pytest
-from conftest import rows
+from models import rows
 from pyspark.sql import functions as F
 
 from tidemark import scale

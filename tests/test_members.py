@@ -1,4 +1,4 @@
-from conftest import rows
+from models import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import pending, volumes

@@ -51,3 +51,19 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(QUERIES) <= set(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """A copy without the text package and the pipeline's package still imports and lists the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json", ".pytest_cache")
+    shutil.copytree(HERE, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; from tidemark.plans.registry import QUERIES; assert set(e.queries()) == set(QUERIES) == set(e.oracle_sql())"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            (tmp_path / "copy" / name).unlink()
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+        assert done.returncode == 0, done.stderr

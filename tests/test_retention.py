@@ -2,7 +2,7 @@ import collections
 
 import models
 import pytest
-from conftest import rows
+from models import rows
 from pyspark.sql import functions as F
 
 from tidemark import scale
@@ -75,15 +75,19 @@ def test_rerun_deletes_nothing(spark):
 
 
 def test_messages(spark):
-    found = [(1, "a")] + [(2, str(i)) for i in range(3)] + [(3, str(i)) for i in range(9)]
-    b = spark.createDataFrame([(p, "b", f"k{n}", n) for p, n in found], "prefix_id bigint, bucket string, key string, sn string")
+    def sentinel(p, n):
+        return f"r/basebackups_005/base_00000001{0:08X}{n:08X}_00000028_backup_stop_sentinel.json"
+
+    found = [(1, 10)] + [(2, i) for i in range(3)] + [(3, i) for i in range(9)]
+    listed = spark.createDataFrame([(p, "b", sentinel(p, n), 1, "r/", 0) for p, n in found], models.INVENTORY).withColumn("last_modified", F.timestamp_seconds("n"))
+    b = catalog.complete_backups(classify.classify_keys(listed))
     p = spark.createDataFrame([(0,), (1,), (2,), (3,)], "prefix_id bigint")
     got = {r.prefix_id: (r.message, r.detail, r.hint) for r in retention.retention_message(b, p, 5, F.lit("s3")).collect()}
     assert got == {
-        0: ("Not deleting any data.", "No existing base backups.", None),
-        1: ("Retaining existing base backup.", None, "Deleting keys older than s3://b/ka."),
-        2: ("Retaining all 3 base backups.", None, "Deleting keys older than s3://b/k0."),
-        3: ("Deleting 4 oldest base backups.", "Found 9 total base backups.", "Deleting keys older than s3://b/k4."),
+        0: ("Nothing to delete.", "The prefix has no complete backup.", None),
+        1: ("The only backup stays.", None, f"Keys before s3://b/{sentinel(1, 10)} go."),
+        2: ("All 3 backups stay.", None, f"Keys before s3://b/{sentinel(2, 0)} go."),
+        3: ("4 older backups go.", "9 complete backups in all.", f"Keys before s3://b/{sentinel(3, 4)} go."),
     }
 
 

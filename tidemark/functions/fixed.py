@@ -59,25 +59,25 @@ THING_TEXT = {
 EVERYTHING_TEXT = {"base": "part of a base backup", "wal": "part of wal logs"}
 DRY_RUN_HINT = "This is only a dry run -- no actual data is being deleted"
 
-# ---- Fixed values: texts about unexpected keys -------------------------------------------
-UNEXPECTED_MSG = "skipping non-qualifying key in 'delete before'"
-UNEXPECTED_DETAIL = 'The unexpected key is "%s", and %s'
+# ---- Our own words about unexpected keys --------------------------------------------------
+UNEXPECTED_MSG = "key left out of the plan"
+UNEXPECTED_DETAIL = "%s has no place in the layout: %s"
 REASON_DETAIL = {
-    "depth": "it appears to be at an unexpected depth.",
-    "sentinel name": "it appears not to match the base-backup sentinel pattern.",
-    "version name": "it appears not to match the extended-version backup pattern.",
-    "volume name": "it appears not to match the base-backup partition pattern.",
-    "wal name": "it appears not to match the WAL file naming pattern.",
+    "depth": "nothing is kept this many folders deep",
+    "sentinel name": "a file here must be a backup sentinel",
+    "version name": "a file here must be the version file of a backup",
+    "volume name": "a file here must be a volume of a backup",
+    "wal name": "a file here must be a segment, a label or a history file",
 }
 
-# ---- Fixed values: texts of retention ----------------------------------------------------
-RETAIN_NONE = "Not deleting any data."
-RETAIN_NONE_DETAIL = "No existing base backups."
-RETAIN_ONE = "Retaining existing base backup."
-RETAIN_ALL = "Retaining all %d base backups."
-RETAIN_SOME = "Deleting %d oldest base backups."
-RETAIN_SOME_DETAIL = "Found %d total base backups."
-RETAIN_HINT = "Deleting keys older than %s."
+# ---- Our own words about retention --------------------------------------------------------
+RETAIN_NONE = "Nothing to delete."
+RETAIN_NONE_DETAIL = "The prefix has no complete backup."
+RETAIN_ONE = "The only backup stays."
+RETAIN_ALL = "All %d backups stay."
+RETAIN_SOME = "%d older backups go."
+RETAIN_SOME_DETAIL = "%d complete backups in all."
+RETAIN_HINT = "Keys before %s go."
 
 # ---- Fixed values: text of the volume limit ----------------------------------------------
 TOO_BIG_HINT = (

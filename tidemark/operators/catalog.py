@@ -26,6 +26,7 @@ def complete_backups(classified: DataFrame) -> DataFrame:
     p = names.parse_sentinel_key("key")
     return s.select(
         "prefix_id",
+        "bucket",
         "key",
         p["name"].alias("name"),
         "last_modified",

@@ -211,11 +211,11 @@ def _with(sql: str) -> str:
 
 _THING_TEXT = """CASE thing WHEN 'sentinel' THEN 'a base backup sentinel file' WHEN 'version' THEN 'a extended version metadata file'
     WHEN 'volume' THEN 'a base backup volume' WHEN 'segment' THEN 'a wal file' WHEN 'label' THEN 'a backup history file' END"""
-_DETAIL = """CASE reason WHEN 'depth' THEN 'it appears to be at an unexpected depth.'
-    WHEN 'sentinel name' THEN 'it appears not to match the base-backup sentinel pattern.'
-    WHEN 'version name' THEN 'it appears not to match the extended-version backup pattern.'
-    WHEN 'volume name' THEN 'it appears not to match the base-backup partition pattern.'
-    ELSE 'it appears not to match the WAL file naming pattern.' END"""
+_DETAIL = """CASE reason WHEN 'depth' THEN 'nothing is kept this many folders deep'
+    WHEN 'sentinel name' THEN 'a file here must be a backup sentinel'
+    WHEN 'version name' THEN 'a file here must be the version file of a backup'
+    WHEN 'volume name' THEN 'a file here must be a volume of a backup'
+    ELSE 'a file here must be a segment, a label or a history file' END"""
 
 
 def _sn(expr):
@@ -246,8 +246,8 @@ _SQL = {
         SELECT prefix_id, key, size, strftime(ts, {ISO}) AS last_modified, CAST(len(string_split(key, '/')) AS INTEGER) AS depth,
                area, thing, tli, sn FROM cl""",
     "quarantine": f"""
-        SELECT prefix_id, key, area, reason, 'skipping non-qualifying key in ''delete before''' AS msg,
-               'The unexpected key is "s3://' || bucket || '/' || key || '", and ' || {_DETAIL} AS detail,
+        SELECT prefix_id, key, area, reason, 'key left out of the plan' AS msg,
+               's3://' || bucket || '/' || key || ' has no place in the layout: ' || {_DETAIL} AS detail,
                'No rule of the archive layout names this key, so it is left alone. Look where it comes from.' AS hint
         FROM classified WHERE thing = 'unexpected'""",
     "classifier_exclusive": f"""
@@ -313,10 +313,10 @@ _SQL = {
     "retention_horizon": "SELECT prefix_id, horizon_sn, horizon_key, retained FROM horizon",
     "retention_message": """
         SELECT prefix_id, n AS backups, greatest(n - 5, 0) AS deleting,
-               CASE WHEN n = 0 THEN 'Not deleting any data.' WHEN n > 5 THEN 'Deleting ' || n - 5 || ' oldest base backups.'
-                    WHEN n = 1 THEN 'Retaining existing base backup.' ELSE 'Retaining all ' || n || ' base backups.' END AS message,
-               CASE WHEN n = 0 THEN 'No existing base backups.' WHEN n > 5 THEN 'Found ' || n || ' total base backups.' END AS detail,
-               CASE WHEN n > 0 THEN 'Deleting keys older than s3://bucket' || prefix_id % 2 || '/' || horizon_key || '.' END AS hint
+               CASE WHEN n = 0 THEN 'Nothing to delete.' WHEN n > 5 THEN n - 5 || ' older backups go.'
+                    WHEN n = 1 THEN 'The only backup stays.' ELSE 'All ' || n || ' backups stay.' END AS message,
+               CASE WHEN n = 0 THEN 'The prefix has no complete backup.' WHEN n > 5 THEN n || ' complete backups in all.' END AS detail,
+               CASE WHEN n > 0 THEN 'Keys before s3://bucket' || prefix_id % 2 || '/' || horizon_key || ' go.' END AS hint
         FROM (SELECT p.prefix_id, count(k.name) AS n FROM (SELECT DISTINCT c_custkey % 4 AS prefix_id FROM customer) p
               LEFT JOIN backups k USING (prefix_id) GROUP BY p.prefix_id) LEFT JOIN horizon USING (prefix_id)""",
     "delete_before": """
