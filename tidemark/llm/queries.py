@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, lines, mixing, packing, pii, quality, repeats, secrets, toxicity
+from tidemark.llm import centroids, decontaminate, jaccard, lines, merkle, mixing, packing, pii, quality, repeats, secrets, toxicity, warc
 from tidemark.llm.text import read, span_digest
 from tidemark.session import prepare
 
@@ -78,6 +78,21 @@ def op10_packed_rows(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark, sf_dir):
+    prepare(spark)
+    return centroids.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_pages(spark, sf_dir):
+    prepare(spark)
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    prepare(spark)
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -89,10 +104,16 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_pii": op9_pii,
     "op10_packed_rows": op10_packed_rows,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_warc_pages": op12_warc_pages,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
     "op3_decontamination": decontaminate.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op8_source_mix": mixing.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
+    "op12_warc_pages": warc.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
