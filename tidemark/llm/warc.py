@@ -280,7 +280,7 @@ def _test(f):
 class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.path = schema, options["path"]
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.partition_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.tests = []
 
     def pushFilters(self, filters):
@@ -357,7 +357,7 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.compress = options["path"], options.get("compression", "gzip") == "gzip"
-        self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
+        self.file_bytes = int(options.get("filebytes", FILE_BYTES))
         if overwrite:
             raise ValueError("archives are only added to; choose a new folder or append")
         fs, root = _open(self.path)
@@ -406,10 +406,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(schema, dict(self.options))
+        return WarcReader(schema, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options), overwrite)
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def enable_pushdown(spark: SparkSession) -> None:
