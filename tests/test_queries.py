@@ -16,7 +16,9 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 CHOSEN = (
     "list_objects_classified quarantine footprint backup_list_detail latest_backup find_backup tablespaces restore_point "
     "delete_retain delete_pages empty_dirs segment_prev wal_gaps wal_islands backup_covered volume_pack manifest_filter "
-    "common_prefix push_batch status_reconcile inventory_diff log_parse log_pairs object_tree sql_segments_after stream_late_rows"
+    "common_prefix push_batch status_reconcile inventory_diff log_parse log_pairs object_tree sql_segments_after stream_late_rows "
+    "stream_gap_alarms stream_upload_outcomes stream_commit log_records sentinel_files inventory_changes footprint_maintained inventory_export "
+    "distinct_of_days rate_quantiles"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="given data not here")
@@ -34,7 +36,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    # Estimates are no numbers that another engine's sketches would give.
+    assert set(QUERIES) == set(ORACLE) | {"distinct_estimates"}
 
 
 def test_every_survey_row_is_covered():
@@ -61,7 +64,7 @@ def test_entry_without_the_optional_folders(tmp_path):
 
     skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json", ".pytest_cache")
     shutil.copytree(HERE, tmp_path / "copy", ignore=skip)
-    code = "import __spark_entry__ as e; from tidemark.plans.registry import QUERIES; assert set(e.queries()) == set(QUERIES) == set(e.oracle_sql())"
+    code = "import __spark_entry__ as e; from tidemark.plans.registry import QUERIES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) < set(QUERIES)"
     for gone in ((), ("corpus_pipeline.py",)):
         for name in gone:
             (tmp_path / "copy" / name).unlink()

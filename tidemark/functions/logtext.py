@@ -26,6 +26,26 @@ def render_record(msg, detail, hint, structured) -> Column:
     )
 
 
+def render_indented(record, head="") -> Column:
+    """A record as it stands in a log file: `head` (logger and level) before its first line, the others indented."""
+    return F.concat(F.lit(head), F.replace(names.col(record), F.lit("\n"), F.lit("\n" + " " * 8)))
+
+
+def record_parts(record) -> dict[str, Column]:
+    """msg, detail, hint and structured of a record whose lines are not indented any more; absent ones are null.
+
+    Labels count at the start of a line, the last one of a kind wins, and each value goes on to the next label.
+    """
+    rest, out = names.col(record), {}
+    for part in ("structured", "hint", "detail"):
+        mark = f"\n{part.upper()}: "
+        value = F.when(rest.contains(mark), F.substring_index(rest, mark, -1))
+        out[part] = value
+        rest = F.when(value.isNull(), rest).otherwise(F.left(rest, F.length(rest) - F.length(value) - len(mark)))
+    out["msg"] = F.when(rest.contains("MSG: "), F.regexp_replace(rest, r"(?s)^.*?MSG: ", ""))
+    return out
+
+
 def _padded(text) -> Column:
     return F.concat(F.lit(" "), names.col(text))
 

@@ -7,8 +7,14 @@ from tidemark import scale
 from tidemark.functions import fixed, logtext, names
 
 
-def typed_events(lines: DataFrame, column="value") -> DataFrame:
-    """Typed events out of log lines (batch or stream); lines without a structured part drop out."""
+FIELDS = ("time", "pid", "action", "key", "seg", "prefix", "state", "rate")
+
+
+def typed_events(lines: DataFrame, column="value", fields=FIELDS) -> DataFrame:
+    """Typed events out of log lines (batch or stream); lines without a structured part drop out.
+
+    Only the `fields` asked for are looked up in the text.
+    """
     s = lines.where(F.col(column).contains("STRUCTURED: ")).select(
         *[c for c in lines.columns if c != column], logtext.structured_part(column).alias("_text")
     )
@@ -17,17 +23,17 @@ def typed_events(lines: DataFrame, column="value") -> DataFrame:
     def get(k):
         return logtext.structured_value("_text", k)
 
-    return scale.once(
-        found,
-        names.parse_log_time(get("time")).alias("time"),
-        get("pid").try_cast("bigint").alias("pid"),
-        get("action").alias("action"),
-        get("key").alias("key"),
-        get("seg").alias("seg"),
-        get("prefix").alias("prefix"),
-        get("state").alias("state"),
-        get("rate").try_cast("double").alias("rate"),
-    ).drop("_text")
+    typed = {"time": names.parse_log_time, "pid": lambda c: c.try_cast("bigint"), "rate": lambda c: c.try_cast("double")}
+    return scale.once(found, *[typed.get(f, lambda c: c)(get(f)).alias(f) for f in fields]).drop("_text")
+
+
+def typed_records(records: DataFrame, fields=FIELDS) -> DataFrame:
+    """One event per whole record (column `record`): the typed fields with msg, detail and hint."""
+    parts = logtext.record_parts("record")
+    rest = [c for c in records.columns if c != "record"]
+    found = scale.once(records, *[parts[p].alias(p) for p in ("msg", "detail", "hint", "structured")])
+    lines = found.select(*rest, "msg", "detail", "hint", F.concat(F.lit("STRUCTURED: "), "structured").alias("value"))
+    return typed_events(lines, fields=fields)
 
 
 def event_pairs(lines: DataFrame, column="value") -> DataFrame:

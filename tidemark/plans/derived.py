@@ -324,6 +324,19 @@ def log_columns(spark, sf_dir) -> DataFrame:
     return _log_columns(table(spark, sf_dir, "events"))
 
 
+def log_records(spark, sf_dir) -> DataFrame:
+    """Records with a message, for uploads a detail of two lines, and a hint for errors."""
+    sent = F.concat(F.lit("Sent object "), F.col("event_id").cast("string"), F.lit(".\nIt took "), (F.col("event_id") % 7).cast("string"), F.lit(" parts."))
+    return log_columns(spark, sf_dir).select(
+        "time",
+        "pid",
+        "pairs",
+        F.concat(F.lit("saw a "), "kind").alias("msg"),
+        F.when(F.col("kind") == "purchase", sent).alias("detail"),
+        F.when(F.col("kind") == "error", "Try again.\nThen ask.").alias("hint"),
+    )
+
+
 def prefixes(spark, sf_dir) -> DataFrame:
     """A prefix URL per nation; every sixth has a scheme that no store has."""
     scheme = F.get(
@@ -340,6 +353,24 @@ def prefixes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("prefix_id"), url.alias("url"))
 
 
+def backup_members(spark, sf_dir) -> DataFrame:
+    """Members of backups, with their size as content, and the stops of those that ended well."""
+    b = _order_backups(spark, sf_dir).where("o_orderpriority in ('1-URGENT', '2-HIGH')").select("prefix_id", "name", "o_orderkey", "o_orderpriority", "price")
+    none = F.lit(None).cast("string")
+    members = b.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")))).select(
+        "prefix_id", "name", F.concat(F.lit("part_"), F.col("part").cast("string")).alias("path"), F.floor(F.col("price") / (F.col("part") + 1)).cast("string").alias("content"), none.alias("body")
+    )
+    stop = F.to_json(F.struct(F.substring("name", 6, 24).alias("wal_segment_backup_stop")))
+    stops = b.where("o_orderpriority = '1-URGENT'").select("prefix_id", "name", none.alias("path"), none.alias("content"), stop.alias("body"))
+    return members.unionByName(stops)
+
+
+def nested_homes(spark) -> DataFrame:
+    """Folders of the PREFIXES prefixes, each inside the one before but for the last, whose name only begins like another."""
+    homes = ["fleet", "fleet/a", "fleet/a/b", "fleet/ab"]
+    return spark.createDataFrame(list(enumerate(homes)), "prefix_id bigint, home string")
+
+
 def fleet_prefixes(spark, sf_dir) -> DataFrame:
     """The prefixes that occur among customers."""
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") % PREFIXES).alias("prefix_id")).distinct()

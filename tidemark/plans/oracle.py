@@ -173,7 +173,14 @@ VIEWS = {
     "paired": """
         SELECT p.* FROM pairs p CROSS JOIN pair_mark m
         WHERE outcome IS NOT NULL OR begin_ts <= m.mark - INTERVAL 10 MINUTE""",
+    "begun": """
+        SELECT *, lead(b) OVER (PARTITION BY prefix, pid, key ORDER BY b) AS next_b FROM (SELECT DISTINCT prefix, pid, key, ts AS b FROM pu WHERE state = 'begin')""",
     "arrived": "SELECT prefix, '00000001' AS tli, pos, ts, seg FROM typed WHERE action = 'push-wal' AND state IN ('complete', 'skip')",
+    "first_ticks": """
+        SELECT prefix, tli, pos, min(time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE) AS tick FROM arrived GROUP BY prefix, tli, pos""",
+    "due_first": """
+        SELECT *, min(tick + INTERVAL 1 HOUR) OVER (PARTITION BY prefix, tli ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS passed
+        FROM first_ticks""",
     "arrived_states": "SELECT prefix, state, ts FROM typed WHERE action = 'push-wal' AND state IN ('complete', 'skip')",
     "sess0": "SELECT prefix, ts, lag(ts) OVER (PARTITION BY prefix ORDER BY ts) AS prev FROM typed WHERE action = 'wal-fetch'",
     "sess1": """
@@ -494,6 +501,10 @@ _SQL = {
             UNION ALL SELECT 'key', key FROM typed UNION ALL SELECT 'prefix', prefix FROM typed UNION ALL SELECT 'seg', seg FROM typed
             UNION ALL SELECT 'state', state FROM typed UNION ALL SELECT 'rate', CAST(CAST(rate AS BIGINT) AS VARCHAR) FROM typed)
         WHERE value IS NOT NULL GROUP BY key, value""",
+    "log_records": """
+        SELECT tt AS time, pid, action, prefix, state, CAST(rate AS DOUBLE) AS rate, 'saw a ' || kind AS msg,
+               CASE WHEN kind = 'purchase' THEN 'Sent object ' || event_id || '.' || chr(10) || 'It took ' || event_id % 7 || ' parts.' END AS detail,
+               CASE WHEN kind = 'error' THEN 'Try again.' || chr(10) || 'Then ask.' END AS hint FROM ev""",
     "log_round_trip": """
         SELECT prefix, action, state, count(*) AS records, CAST(sum(rate) AS BIGINT) AS rate_sum FROM ev GROUP BY prefix, action, state""",
     "upload_stats": """
@@ -532,6 +543,12 @@ _SQL = {
         FROM arrived l LEFT JOIN arrived h ON h.prefix = l.prefix AND h.tli = l.tli AND h.pos = l.pos + 1
              AND h.ts BETWEEN l.ts - INTERVAL 1 HOUR AND l.ts + INTERVAL 1 HOUR
         WHERE h.pos IS NULL AND l.ts <= (SELECT date_trunc('millisecond', max(ts)) FROM arrived) - INTERVAL 2 HOUR""",
+    "stream_gap_alarms": """
+        SELECT prefix, tli, below + 1 AS gap_from, pos - 1 AS gap_to, pos - 1 - below AS missing, strftime(passed, '%Y-%m-%dT%H:%M:%S.%f') || '-00' AS due
+        FROM (SELECT p.prefix, p.tli, p.pos, p.passed, max(s.pos) AS below FROM due_first p
+              JOIN due_first s ON s.prefix = p.prefix AND s.tli = p.tli AND s.pos < p.pos AND s.tick <= p.passed
+              WHERE p.tick <= p.passed AND p.passed <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM arrived)
+              GROUP BY ALL) WHERE below < pos - 1""",
     "stream_first_pushes": "SELECT DISTINCT prefix, seg FROM typed WHERE action = 'push-wal'",
     "stream_late_rows": """
         SELECT prefix, count(*) AS arrived, count(*) FILTER (state = 'complete' OR ts > mark) AS kept,
@@ -546,4 +563,29 @@ _SQL = {
 }
 _SQL["sql_segments_after"] = _SQL["segments_after"]
 
+_SQL["stream_upload_outcomes"] = """
+        SELECT prefix, pid, key, strftime(b, '%Y-%m-%dT%H:%M:%S.%f') || '-00' AS begin_time, min_by(state, (e, state)) AS outcome,
+               epoch_us(min(e)) - epoch_us(b) AS duration_us
+        FROM (SELECT b.prefix, b.pid, b.key, b.b, e.ts AS e, e.state FROM begun b LEFT JOIN pu e
+              ON e.prefix = b.prefix AND e.pid = b.pid AND e.key = b.key AND e.state IN ('complete', 'skip')
+              AND e.ts >= b.b AND e.ts <= b.b + INTERVAL 10 MINUTE AND (b.next_b IS NULL OR e.ts < b.next_b))
+        WHERE b + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM pu WHERE state IS NOT NULL)
+        GROUP BY prefix, pid, key, b"""
+_SQL["stream_commit"] = """
+        SELECT prefix_id, name, substr(name, 6, 24) AS stop, count(*) AS members, sum(octet_length(encode(CAST(price // (v + 1) AS VARCHAR))))::BIGINT AS bytes
+        FROM b, (VALUES (0), (1), (2)) t(v) WHERE v <= o_orderkey % 3 AND o_orderpriority = '1-URGENT' GROUP BY prefix_id, name"""
+_SQL["distinct_of_days"] = """
+        SELECT prefix_id, strftime(a, '%Y-%m-%d') AS first_day, strftime(z, '%Y-%m-%d') AS last_day, count(*) AS objects, true AS within_stated_error FROM (
+            SELECT prefix_id, date_trunc('month', ts) AS a, date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS z FROM inv
+            UNION ALL SELECT prefix_id, date_trunc('year', ts), date_trunc('year', ts) + INTERVAL 1 YEAR - INTERVAL 1 DAY FROM inv) GROUP BY prefix_id, a, z"""
+_SQL["rate_quantiles"] = """
+        SELECT prefix, strftime(ts, '%Y-%m-%d') AS day, count(*) AS uploads, quantile_disc(rate, 0.5) AS p50, quantile_disc(rate, 0.95) AS p95
+        FROM typed WHERE action = 'push-wal' AND state = 'complete' GROUP BY prefix, day"""
+_SQL["sentinel_files"] = _SQL["backup_list_detail"]
+_SQL["inventory_changes"] = _SQL["inventory_diff"]
+_SQL["footprint_maintained"] = f"""
+        SELECT n.prefix_id, thing, count(*) AS objects, sum(n.size)::BIGINT AS bytes, strftime(min(ts), {ISO}) AS oldest, strftime(max(ts), {ISO}) AS newest
+        FROM snap_new n JOIN cl c ON c.prefix_id = n.prefix_id AND c.key = n.key GROUP BY n.prefix_id, thing"""
+_SQL["inventory_export"] = f"SELECT prefix_id, bucket, key, size, strftime(ts, {ISO}) AS last_modified FROM inv"
+
 ORACLE: dict[str, str] = {name: _with(sql) for name, sql in _SQL.items()}

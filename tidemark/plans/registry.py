@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, fixed, logtext, names, sqlface
-from tidemark.operators import catalog, continuity, estate, events, packing, pending, retention, volumes
+from tidemark.operators import catalog, continuity, digests, estate, events, packing, pending, retention, sketches, volumes
 from tidemark.plans import derived as d
 from tidemark.session import prepare, shared_path
 from tidemark.sinks import archive as sink
+from tidemark.sinks import commits
 from tidemark.sources import archive as source
-from tidemark.sources import listing
-from tidemark.streaming import log_stream
+from tidemark.sources import inventory, listing, records
+from tidemark.streaming import frontier, log_stream, uploads
 
 KEEP = 5
 PENDING = 10
@@ -530,6 +531,87 @@ def _(spark, sf):
     return estate.common_keys(*_snapshots(spark, sf))
 
 
+def _digests(spark, listed, name):
+    path = shared_path(spark, f"digests-{name}")
+    digests.write_digests(listed, path, compare=("size",))
+    return digests.read_digests(spark, path)
+
+
+def _moved(spark, sf, carry=()):
+    old, new = _snapshots(spark, sf)
+    opened = digests.open_leaves(_digests(spark, old, "old"), _digests(spark, new, "new"))
+    return old, new, digests.changes(old, new, opened, compare=("size",), carry=carry)
+
+
+@query("inventory_changes", "U6")
+def _(spark, sf):
+    """The same as inventory_diff, by digests: only keys in leaves that differ are joined."""
+    return _moved(spark, sf)[2].select("prefix_id", "key", "status")
+
+
+@query("footprint_maintained", "A12 U6")
+def _(spark, sf):
+    """The footprint of the older listing, carried on to the newer one by what changed."""
+    old, new, moved = _moved(spark, sf, carry=("last_modified", "path_prefix"))
+    rows = moved.where("status <> 'kept'").withColumn("path_prefix", F.coalesce("new_path_prefix", "old_path_prefix"))
+    rows = rows.select("prefix_id", F.lit("").alias("bucket"), "key", "path_prefix", "status", "old_size", "new_size", "old_last_modified", "new_last_modified")
+    things = classify.classify_keys(rows)
+    base = estate.footprint(classify.classify_keys(old)).where("level = 0").select("prefix_id", "thing", "objects", "bytes", "oldest", "newest")
+    f = digests.maintained_footprint(base, things, classify.classify_keys(new))
+    return f.select("prefix_id", "thing", "objects", "bytes", iso("oldest"), iso("newest"))
+
+
+def _day_ranges(spark, sf):
+    """Every month of the listing, and every year."""
+    days = d.inventory(spark, sf).select(F.to_date("last_modified").alias("d"))
+    spans = [days.select(F.trunc("d", unit).alias("first_day"), F.date_sub(F.add_months(F.trunc("d", unit), n), 1).alias("last_day")).distinct() for unit, n in (("month", 1), ("year", 12))]
+    return spans[0].unionByName(spans[1])
+
+
+def _day_estimates(spark, sf):
+    path = shared_path(spark, "distinct")
+    sketches.distinct_sketches(d.inventory(spark, sf)).write.parquet(path)
+    return sketches.distinct_between(spark.read.parquet(path), _day_ranges(spark, sf))
+
+
+def _day(c):
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
+
+
+@query("distinct_of_days", "A17")
+def _(spark, sf):
+    """Distinct keys of every month and year from daily sketches, held against the exact count."""
+    exact = d.inventory(spark, sf).join(F.broadcast(_day_ranges(spark, sf)), F.to_date("last_modified").between(F.col("first_day"), F.col("last_day")))
+    exact = exact.groupBy("prefix_id", "first_day", "last_day").agg(F.count(F.lit(1)).alias("objects"))
+    both = exact.join(_day_estimates(spark, sf), ["prefix_id", "first_day", "last_day"])
+    near = F.abs(F.col("keys_estimate") - F.col("objects")) <= 4 * sketches.distinct_error() * F.col("objects") + 1
+    return both.select("prefix_id", _day("first_day"), _day("last_day"), "objects", near.alias("within_stated_error"))
+
+
+@query("distinct_estimates", "A17")
+def _(spark, sf):
+    """The estimates themselves, and their stated relative standard error."""
+    e = _day_estimates(spark, sf)
+    return e.select("prefix_id", _day("first_day"), _day("last_day"), "keys_estimate", F.lit(sketches.distinct_error()).alias("stated_error"))
+
+
+@query("rate_quantiles", "A14")
+def _(spark, sf):
+    """Rate quantiles per prefix and day, merged from hourly sketches."""
+    path = shared_path(spark, "rates")
+    sketches.rate_sketches(_events(spark, sf, "time", "action", "prefix", "state", "rate")).write.parquet(path)
+    by_day = spark.read.parquet(path).withColumn("day", F.to_date("hour"))
+    return sketches.rate_quantiles(by_day, ("prefix", "day")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("inventory_export", "SC1")
+def _(spark, sf):
+    """The listing is exported with a manifest and read back by it."""
+    path = shared_path(spark, "export")
+    inventory.write_export(d.inventory(spark, sf), path)
+    return inventory.read_export(spark, path, checksums=True).select("prefix_id", "bucket", "key", "size", iso("last_modified"))
+
+
 @query("prefix_parse", "P7 FL11 M2")
 def _(spark, sf):
     u = names.parse_url("url")
@@ -613,23 +695,32 @@ def _(spark, sf):
 @query("log_round_trip", "SK7 SC10 F17 F18")
 def _(spark, sf):
     """Records are written as text files of several lines, read back and typed."""
-    records = d.log_columns(spark, sf).select(
+    logged = d.log_columns(spark, sf).select(
         "time", "pid", "pairs", F.col("kind").alias("msg"), F.lit(None).cast("string").alias("detail"),
         F.when(F.col("kind") == "error", "try again").alias("hint"),
     )
     path = shared_path(spark, "log")
-    sink.write_log(records, path)
+    sink.write_log(logged, path)
     e = events.typed_events(source.read_log(spark, path))
     return e.groupBy("prefix", "action", "state").agg(F.count(F.lit(1)).alias("records"), F.sum("rate").cast("bigint").alias("rate_sum"))
 
 
-def _events(spark, sf):
-    return events.typed_events(d.log_lines(spark, sf))
+@query("log_records", "ST1 SC10 F17 F18")
+def _(spark, sf):
+    """Records of several lines are written as the archiver logs them and read back whole: one event per record."""
+    path = shared_path(spark, "records")
+    sink.write_records(d.log_records(spark, sf), path)
+    e = events.typed_records(records.read_records(spark, path))
+    return e.select(_micros("time"), "pid", "action", "prefix", "state", "rate", "msg", "detail", "hint")
+
+
+def _events(spark, sf, *fields):
+    return events.typed_events(d.log_lines(spark, sf), fields=fields or events.FIELDS)
 
 
 @query("upload_stats", "A14")
 def _(spark, sf):
-    s = events.upload_stats(_events(spark, sf))
+    s = events.upload_stats(_events(spark, sf, "action", "prefix", "state", "rate"))
     return s.withColumn("mean_rate", F.round("mean_rate", 6))
 
 
@@ -641,7 +732,7 @@ def _(spark, sf):
 
 @query("log_latest_state", "W10")
 def _(spark, sf):
-    return events.latest_states(_events(spark, sf)).withColumn("time", names.log_time("time"))
+    return events.latest_states(_events(spark, sf, "time", "pid", "key", "prefix", "state")).withColumn("time", names.log_time("time"))
 
 
 # ---- round trips through files -----------------------------------------------------------
@@ -671,6 +762,17 @@ def _(spark, sf):
     )
 
 
+@query("sentinel_files", "SC2 SK2 J1")
+def _(spark, sf):
+    """Sentinels lie as files in prefixes inside one another; read, placed by the longest prefix, and joined to the listing."""
+    root = shared_path(spark, "store")
+    homes = d.nested_homes(spark)
+    sink.write_sentinel_files(d.sentinel_json(spark, sf), homes, root)
+    found = source.placed_sentinels(spark, root, homes.withColumn("home", F.concat_ws("/", F.lit(root), F.nullif(F.col("home"), F.lit("")))))
+    b = catalog.backup_list(_backups(spark, sf), catalog.parse_detail(found))
+    return b.withColumn("last_modified", names.iso_seconds("last_modified"))
+
+
 @query("backup_list_file", "SK1")
 def _(spark, sf):
     """The TSV listing is written and its lines are read back as they are."""
@@ -741,6 +843,13 @@ def _(spark, sf):
     return out.withColumn("begin_time", names.log_time("begin_time"))
 
 
+@query("stream_upload_outcomes", "ST2")
+def _(spark, sf):
+    """One row per begin, with the first end that answers it."""
+    out, _q = log_stream.run_available(uploads.outcomes(_stream(spark, sf)), "outcomes", wanted=frontier.SETTINGS)
+    return out.withColumn("begin_time", names.log_time("begin_time"))
+
+
 @query("stream_stuck_uploads", "ST3")
 def _(spark, sf):
     out, _q = log_stream.run_available(log_stream.stuck_uploads(_stream(spark, sf)), "stuck")
@@ -766,6 +875,13 @@ def _(spark, sf):
     return out.select("prefix", "tli", "seg", _micros("low_time"), "missing")
 
 
+@query("stream_gap_alarms", "ST5 W5")
+def _(spark, sf):
+    """Every gap once, as soon as the run above it is due."""
+    out, _q = log_stream.run_available(frontier.gap_alarms(_stream(spark, sf)), "frontier", wanted=frontier.SETTINGS)
+    return out.select("prefix", "tli", "gap_from", "gap_to", "missing", _micros("due"))
+
+
 @query("stream_first_pushes", "ST6")
 def _(spark, sf):
     out, _q = log_stream.run_available(log_stream.first_pushes(_stream(spark, sf)), "first")
@@ -787,7 +903,21 @@ def _(spark, sf):
     return arrived.join(kept, "prefix").select("prefix", "arrived", "kept", (F.col("arrived") - F.col("kept")).alias("late"))
 
 
+@query("stream_commit", "SK2 SK3 SC2")
+def _(spark, sf):
+    """Members and stops of backups stream into an archive; only backups whose sentinel was committed are seen."""
+    arrivals, root = shared_path(spark, "arriving"), shared_path(spark, "committed")
+    rows = d.backup_members(spark, sf)
+    rows.repartition(4).write.parquet(arrivals)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "2").parquet(arrivals)
+    commits.commit_available(stream, root)
+    sentinels, members = commits.committed(spark, root)
+    held = members.groupBy("prefix_id", "name").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+    stop = F.get_json_object("body", "$.wal_segment_backup_stop")
+    return sentinels.select("prefix_id", "name", stop.alias("stop")).join(held, ["prefix_id", "name"])
+
+
 @query("stream_restore_sessions", "ST7")
 def _(spark, sf):
-    out, _q = log_stream.run_available(log_stream.restore_sessions(_stream(spark, sf)), "sessions")
+    out, _q = log_stream.run_available(log_stream.restore_sessions(_stream(spark, sf)), "sessions", wanted=log_stream.SESSION_SETTINGS)
     return out.select("prefix", _micros("session_start"), _micros("session_end"), "fetches")

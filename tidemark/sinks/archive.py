@@ -1,11 +1,19 @@
 """Writers. All write in parallel, in as many files as there are tasks."""
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scale
 from tidemark.functions import logtext, names
+from tidemark.sources import stores
 from tidemark.schema import BACKUP_FIELDS
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def backup_list_columns(backups: DataFrame) -> DataFrame:
     """The seven fields in their order, times as ISO text; null stays empty in the file."""
@@ -48,6 +56,32 @@ def write_sentinels(finished: DataFrame, path: str) -> None:
     sentinel_bodies(finished).write.json(path)
 
 
+def write_files(texts: DataFrame, root: str) -> int:
+    """One file per row (path, below `root`, and text); returns how many. A repeated task writes the same files again.
+
+    Files are opened by pyarrow's file systems (local, file:, hdfs:, s3:, gs:, abfs:) in the tasks.
+    """
+
+    def run(batches):
+        fs, base = stores.open_store(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at = f"{base.rstrip('/')}/{path}"
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at, compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return texts.select("path", "text").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_sentinel_files(sentinels: DataFrame, homes: DataFrame, root: str) -> int:
+    """A sentinel file per backup (prefix_id, name, body) in its prefix's home (prefix_id, home) below `root`."""
+    placed = scale.join_small(sentinels, homes.select("prefix_id", "home"), "prefix_id")
+    folder = F.concat_ws("/", F.nullif(F.col("home"), F.lit("")), F.concat(F.lit("basebackups_005/"), "name", F.lit("_backup_stop_sentinel.json")))
+    return write_files(placed.select(folder.alias("path"), F.col("body").alias("text")), root)
+
+
 def write_delete_plan(report: DataFrame, path: str) -> None:
     report.write.parquet(path)
 
@@ -83,6 +117,12 @@ def log_lines(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.split(record, "\n")).alias("value"))
 
 
+def write_records(events: DataFrame, path: str, head="archive INFO     ") -> None:
+    """Records as the archiver logs them: a header line, all other lines indented below it."""
+    record = logtext.render_record("msg", "detail", "hint", logtext.render_structured("time", "pid", "pairs"))
+    events.select(logtext.render_indented(record, head).alias("value")).write.text(path)
+
+
 def write_log(events: DataFrame, path: str) -> None:
     record = logtext.render_record("msg", "detail", "hint", logtext.render_structured("time", "pid", "pairs"))
     events.select(record.alias("value")).write.text(path)

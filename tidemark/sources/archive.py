@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
+from tidemark.operators import placement
 from tidemark.schema import ARCHIVE_STATUS, FILE_MANIFEST
 
 
@@ -20,6 +21,22 @@ def read_sentinels(spark: SparkSession, path_glob: str) -> DataFrame:
     )
 
 
+def _one_form(url):
+    """Local files are named file:/ or file:/// by different readers."""
+    return F.regexp_replace(F.regexp_replace(F.col(url), "^/+", "file:///"), "^file:/+", "file:///")
+
+
+def placed_sentinels(spark: SparkSession, path_glob: str, homes: DataFrame) -> DataFrame:
+    """Sentinel files with the prefix each belongs to (homes: prefix_id and the URL of its folder), as detail is parsed from.
+
+    Prefixes may lie inside one another. A sentinel outside of all homes has no prefix and is left out.
+    """
+    found = read_sentinels(spark, path_glob).withColumn("url", _one_form("url"))
+    return placement.longest_prefix(found, homes.select("prefix_id", _one_form("home").alias("home"))).where("prefix_id is not null").select(
+        "prefix_id", "name", "wal_segment_backup_start", "body", "url"
+    )
+
+
 def read_manifest(spark: SparkSession, path: str, fmt="parquet") -> DataFrame:
     """File manifests of clusters. Directories and links cannot be listed by Spark, so the manifest is an input."""
     r = spark.read.format(fmt).schema(FILE_MANIFEST)

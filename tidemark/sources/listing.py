@@ -1,6 +1,6 @@
 """Object listings: a live tree, or an inventory export of a store."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
@@ -33,10 +33,16 @@ def read_inventory(spark: SparkSession, path: str, fmt="parquet", **columns) ->
 
     Keys are normalised, and the first of several candidate time columns wins.
     """
-    raw = spark.read.format(fmt).load(path)
+    return placed_columns(spark.read.format(fmt).load(path), **columns)
+
+
+def placed_columns(raw: DataFrame, **columns) -> DataFrame:
+    """The columns of a listing out of those of an export; `columns` names the export's, several candidates, or an expression."""
 
     def pick(name):
         source = columns.get(name, name)
+        if isinstance(source, Column):
+            return source
         return names.modified(*source) if isinstance(source, (list, tuple)) else F.col(source)
 
     return raw.select(

@@ -7,6 +7,8 @@ over all tasks. Sessions are keyed by prefix alone; Spark merges them inside eac
 task before the shuffle, so a busy prefix sends few rows.
 """
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,10 +117,13 @@ def first_pushes(events: DataFrame, delay=WATERMARK) -> DataFrame:
     return push.withWatermark("time", delay).dropDuplicatesWithinWatermark(["prefix", "seg"])
 
 
+#: Sessions of one prefix are merged inside each task before the shuffle.
+SESSION_SETTINGS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
 def restore_sessions(events: DataFrame, delay=WATERMARK, pause="10 minutes") -> DataFrame:
     """Runs of segment fetches per prefix, split where none came for `pause`."""
     fetch = events.where(F.col("action") == fixed.ACTION_FETCH)
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         fetch.withWatermark("time", delay)
         .groupBy(F.session_window("time", pause).alias("w"), "prefix")
@@ -127,23 +132,32 @@ def restore_sessions(events: DataFrame, delay=WATERMARK, pause="10 minutes") ->
     )
 
 
-def run_available(stream: DataFrame, name: str, mode="append", folder=None):
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict):
+    """Session settings that hold while a query starts and runs; afterwards they are what they were."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, name: str, mode="append", folder=None, wanted=None):
     """Drive a stream over everything available now into parquet; returns (table, query).
 
     Output and progress lie in the shared folder, so a lost executor, or the driver
     itself, can pick the query up again; pass the `folder` of an earlier run to go on
-    from there.
+    from there. `wanted` are settings the query needs; the session's own come back afterwards.
     """
     spark: SparkSession = stream.sparkSession
     folder = folder or shared_path(spark, f"stream-{name}")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start(f"{folder}/data")
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/progress")
+    with settings(spark, wanted or {}):
+        query = writer.trigger(availableNow=True).start(f"{folder}/data")
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/data"), query
 
 
