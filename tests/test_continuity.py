@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import scale
 from tidemark.functions import names
 from tidemark.operators import continuity
+from tidemark.streaming import log_stream
 
 CHUNK = 16
 
@@ -87,7 +88,7 @@ def test_restore_points(spark, seed):
     targets = [(i, rng.choice([1, 2, 3]), rng.randrange(0, 110_000, 50)) for i in range(120)]
     b = spark.createDataFrame(backups, "prefix_id bigint, name string, key string, s bigint").withColumn("last_modified", F.timestamp_seconds("s"))
     t = spark.createDataFrame(targets, "request_id bigint, prefix_id bigint, s bigint").withColumn("target", F.timestamp_seconds("s"))
-    got = {r.request_id: r.name for r in continuity.restore_points(b, t, chunk_seconds=3000).collect()}
+    got = {r.request_id: r.name for r in continuity.restore_points(b, t).collect()}
     want = {}
     for i, p, at in targets:
         usable = [(s, k, n) for bp, n, k, s in backups if bp == p and s <= at]
@@ -121,3 +122,26 @@ def test_unfold(spark):
     df = spark.createDataFrame([("a", 3, 30), ("b", 7, 7), ("c", 9, 8)], "k string, lo bigint, hi bigint")
     got = sorted((r.k, r.x) for r in scale.unfold(df, "lo", "hi", "x", step=3).collect())
     assert got == [("a", i) for i in range(3, 31)] + [("b", 7)]
+
+
+def test_restore_points_when_all_times_lie_in_one_second(spark):
+    """Most rows belong to one prefix and many share a time: ranges are cut by rows, not by time."""
+    n = 4000
+    data = [(0 if k % 4 else 1, f"b{k:05}", f"k{k:05}", k % 9) for k in range(n)]
+    b = spark.createDataFrame(data, "prefix_id bigint, name string, key string, us bigint").withColumn("last_modified", F.timestamp_micros("us"))
+    t = spark.createDataFrame([(k, k % 3, (k * 7) % 12 - 2) for k in range(500)], "request_id bigint, prefix_id bigint, us bigint").withColumn("target", F.timestamp_micros("us"))
+    got = {r.request_id: r.name for r in continuity.restore_points(b, t).collect()}
+    for k in range(500):
+        usable = [(us, key, name) for p, name, key, us in data if p == k % 3 and us <= (k * 7) % 12 - 2]
+        assert got[k] == (max(usable)[2] if usable else None)
+    with log_stream.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        chunks = scale.range_chunks(b, ["prefix_id"], ["last_modified", "key"]).groupBy("chunk").count().collect()
+    assert len(chunks) >= 4 and max(r["count"] for r in chunks) < n / 2
+
+
+def test_latest_rows(spark):
+    data = [(1, None, "z"), (1, 3, "a"), (1, 3, "b"), (1, 2, "c"), (2, None, "d"), (2, None, "e")]
+    df = spark.createDataFrame(data, "g bigint, t bigint, k string")
+    assert rows(scale.latest_rows(df, ["g"], "t", ["k"])) == [(1, 3, "b"), (2, None, "e")]
+    plan = df.groupBy("g").agg(F.max("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

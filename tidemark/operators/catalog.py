@@ -81,12 +81,7 @@ def backup_list(backups: DataFrame, detail: DataFrame | None = None) -> DataFram
 
 def latest_backup(backups: DataFrame) -> DataFrame:
     """Newest complete backup of each prefix by modification time; equal times: last in key order."""
-    row = F.struct(*[c for c in backups.columns if c != "prefix_id"])
-    return (
-        backups.groupBy("prefix_id")
-        .agg(F.max_by(row, F.struct("last_modified", "key")).alias("b"))
-        .select("prefix_id", "b.*")
-    )
+    return scale.latest_rows(backups, ["prefix_id"], "last_modified", ["key"])
 
 
 def find_backups(backups: DataFrame, requests: DataFrame) -> DataFrame:

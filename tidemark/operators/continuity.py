@@ -172,11 +172,11 @@ def backup_ranges(backups: DataFrame, detail: DataFrame) -> DataFrame:
     )
 
 
-def restore_points(backups: DataFrame, targets: DataFrame, chunk_seconds=3600) -> DataFrame:
+def restore_points(backups: DataFrame, targets: DataFrame) -> DataFrame:
     """As-of: for each target (request_id, prefix_id, target) the newest backup finished by then.
 
-    Backups and targets are merged on the time axis and filled forward inside
-    hours; hours hand on their last backup.
+    Backups and targets are merged on the time axis, cut into ranges with equal numbers of rows, and filled forward inside
+    ranges; these hand on their last backup. It does not matter how the times lie: all may be of one second.
     """
     b = backups.select(
         "prefix_id",
@@ -194,7 +194,7 @@ def restore_points(backups: DataFrame, targets: DataFrame, chunk_seconds=3600) -
         F.lit(None).cast(b.schema["backup"].dataType).alias("backup"),
         F.col("request_id").cast("bigint").alias("request_id"),
     )
-    both = b.unionByName(t).withColumn("chunk", F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / chunk_seconds))
+    both = scale.range_chunks(b.unionByName(t), ["prefix_id"], ["at", "kind", "tie"])
     filled = scale.latest_value(both, ["prefix_id"], ["at", "kind", "tie"], "chunk", "backup", "usable")
     return filled.where("kind = 1").select(
         "request_id",

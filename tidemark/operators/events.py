@@ -70,5 +70,4 @@ def retry_attempts(lines: DataFrame, column="value") -> DataFrame:
 def latest_states(events: DataFrame) -> DataFrame:
     """Last state of each (prefix, key); equal times are settled by pid and state."""
     stated = events.where("state is not null")
-    row = F.struct("time", "pid", "state")
-    return stated.groupBy("prefix", "key").agg(F.max(row).alias("r")).select("prefix", "key", "r.time", "r.pid", "r.state")
+    return scale.latest_rows(stated.select("prefix", "key", "time", "pid", "state"), ["prefix", "key"], "time", ["time", "pid", "state"])

@@ -104,6 +104,12 @@ def outside_root(manifest: DataFrame, root: str) -> DataFrame:
     return manifest.where(~F.col("path").startswith(root))
 
 
+def presence(manifest: DataFrame, present: DataFrame) -> DataFrame:
+    """Every entry with `there`: is it still there? One join serves the report of vanished entries and the archive of the others."""
+    found = present.select("cluster_id", "path").distinct().withColumn("_there", F.lit(True))
+    return manifest.join(found, ["cluster_id", "path"], "left").withColumn("there", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def unlinked(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Entries that vanished since the listing, as a report."""
     return manifest.join(present.select("cluster_id", "path"), ["cluster_id", "path"], "left_anti")

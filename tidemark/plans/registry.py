@@ -437,8 +437,7 @@ def _(spark, sf):
     m = d.file_manifest(spark, sf)
     there = d.table(spark, sf, "labels").select(F.col("doc_id").alias("ord"))
     present = m.join(there, "ord", "left_semi").select("cluster_id", "path")
-    gone = volumes.unlinked(m, present).select("cluster_id", "path", F.lit("skip").alias("state"))
-    return gone.unionByName(volumes.still_there(m, present).select("cluster_id", "path", F.lit("archive").alias("state")))
+    return volumes.presence(m, present).select("cluster_id", "path", F.when(F.col("there"), "archive").otherwise("skip").alias("state"))
 
 
 @query("common_prefix", "A8")

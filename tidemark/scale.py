@@ -90,6 +90,29 @@ def top_n(df: DataFrame, keys, order, n: int, spread="key") -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
+def latest_rows(df: DataFrame, keys, time: str, order) -> DataFrame:
+    """The row of each group with the greatest `time`; equal times: the greatest by `order`. A null time is the least.
+
+    The greatest time is a hash aggregate of numbers with a partial sum on the map side. Only rows that carry it, ties
+    that is, go through an aggregate of whole rows, which Spark sorts.
+    """
+    newest = df.groupBy(*keys).agg(F.max(time).alias("_newest"))
+    first = join_small(df, newest, keys).where(F.col(time).eqNullSafe(F.col("_newest"))).drop("_newest")
+    rest = [c for c in df.columns if c not in keys]
+    row = F.max_by(F.struct(*rest), F.struct(*order)) if len(order) < len(rest) else F.max(F.struct(*order))
+    return first.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*")
+
+
+def range_chunks(df: DataFrame, keys, order, out="chunk") -> DataFrame:
+    """`df` with a chunk number that never decreases along `order` within a group and holds about as many rows as any other.
+
+    Rows are dealt by ranges of (keys, order), however unevenly the values lie; the table is pinned, so that the numbers stay what they are.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(*keys, *order, "_tie").withColumn(out, F.spark_partition_id().cast("bigint"))
+    return pin(ranged.drop("_tie"))
+
+
 def previous_row(df: DataFrame, keys, order, chunk: str, values, spread=True) -> DataFrame:
     """Add `prev`, a struct of `values` of the preceding row in the group's order.
 

@@ -91,9 +91,10 @@ def write_volumes(files: DataFrame, packed: DataFrame, path: str) -> None:
 
     `files` has cluster_id, path, content. Rows are laid out by (cluster, volume)
     before writing, so that each volume becomes one file; a volume is bounded in
-    bytes and members, and so is a task's output file.
+    bytes and members, and so is a task's output file. Contents are shuffled once, to their volumes, while the packing (a
+    short row per file) fits a broadcast; beyond that they are shuffled to it first.
     """
-    placed = files.join(packed.select("cluster_id", "path", "volume", "ord"), ["cluster_id", "path"])
+    placed = scale.join_small(files, packed.select("cluster_id", "path", "volume", "ord"), ["cluster_id", "path"])
     (
         placed.repartition("cluster_id", "volume")
         .sortWithinPartitions("cluster_id", "volume", "ord")
