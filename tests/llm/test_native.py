@@ -9,7 +9,7 @@ from helpers import AWKWARD, clashing, table
 from oracle_check import compare, duck
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lines, mixing, pii, queries, secrets
+from tidemark.llm import decontaminate, lines, mixing, pii, queries, secrets, text
 from tidemark.llm.text import span_digest
 
 DATA = "/root/testdata/sf0.001"
@@ -241,3 +241,95 @@ def test_lines_against_all_pairs(spark, tmp_path):
                 root = {k: a if v == b else v for k, v in root.items()}
     got = {x.doc_id: x.n_removed for x in lines.report(docs).collect()}
     assert linked > 5 and got == {i: int(root[i] != i) for i, _t in rows}
+
+
+# ------------------------------------------------------------------ row identity
+
+
+def test_row_ids_do_not_depend_on_splits(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(3000)] + [(7, "text 7")]
+    docs = table(spark, rows, tmp_path / "with space", parts=5)
+    seen = []
+    for size in ("1000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "1000" else "4194304")
+        try:
+            got = text.stable_rows(docs)
+            seen.append((got.rdd.getNumPartitions(), {r.row_id: (r.doc_id, r.text) for r in got.collect()}))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0][0] > seen[1][0] and seen[0][1] == seen[1][1] and len(seen[0][1]) == 3001
+    part = text.stable_rows(docs.where("doc_id % 2 = 0")).collect()
+    assert all(seen[0][1][r.row_id] == (r.doc_id, r.text) for r in part) and len(part) == 1500
+    clash = docs.withColumn("_metadata", F.lit("x"))
+    assert {r.row_id: (r.doc_id, r.text) for r in text.stable_rows(clash).collect()} == seen[0][1]
+    mixed = docs.repartition(3).groupBy("doc_id").agg(F.max("text").alias("text"))
+    assert text.stable_rows(mixed).select("row_id").distinct().count() == 3000
+    base = text.identified(mixed)
+    assert text.identified(base) is base
+    assert text.unwrapped(base).columns == ["doc_id", "text"]
+
+
+def test_a_grown_store_is_scanned_for_unseen_contents_only(spark, tmp_path):
+    rows = [(k, f"content {k % 40} password=abcdefgh{k % 40}") for k in range(100)] + [(None, None), (200, "")]
+    docs, path = table(spark, rows, tmp_path / "d"), str(tmp_path / "ledger")
+    half, first = secrets.update(docs.where("doc_id < 30"), path)
+    assert first.count() == 30 and half.count() == 30
+    whole, second = secrets.update(docs, path)
+    assert second.count() == 11 and spark.read.parquet(path).count() == 41
+    assert secrets.update(docs, path)[1].count() == 0
+    direct = secrets.scan(docs)[0]
+    assert sorted(map(str, whole.select("doc_id", "found").collect())) == sorted(map(str, direct.select("doc_id", "found").collect()))
+
+
+# ------------------------------------------------------------------ schedule
+
+
+def slow_slots(goals, block_words, step):
+    total, n = sum(goals.values()), sum(-(-g // block_words) for g in goals.values())
+    ends, at = [], 0
+    for s, g in sorted(goals.items()):
+        ends.append((at, at + g, s))
+        at += g
+    had, out = {s: 0 for s in goals}, []
+    for j in range(n):
+        place = (j % mixing.PERIOD * step % mixing.PERIOD) * total // mixing.PERIOD
+        s = next(s for lo, hi, s in ends if lo <= place < hi)
+        if had[s] < -(-goals[s] // block_words):
+            out.append((j, s, had[s]))
+        had[s] += 1
+    return sorted(out + [(n + b, s, b) for s, g in goals.items() for b in range(had[s], -(-g // block_words))])
+
+
+def test_the_result_follows_the_schedule(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(i % 9)), "abc"[i % 3]) for i in range(300)]
+    docs = table(spark, rows, tmp_path / "d")
+    sized, target, ranges = mixing.mix(docs, block_words=17)
+    goals = {r.source_no: int(r.target) for r in target.collect()}
+    slots = {(s, b): j for j, s, b in slow_slots(goals, 17, mixing.STEP)}
+    assert sorted((r.slot, r.source_no, r.block) for r in mixing.schedule(target, 17).collect()) == slow_slots(goals, 17, mixing.STEP)
+    numbers = {r.source: r.source_no for r in target.collect()}
+    told = {r.doc_id: r.slots_sha256 for r in mixing.taken_words(docs, block_words=17).collect()}
+    want = {}
+    for source, no in numbers.items():
+        at = 0
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, s in rows if s == source)
+        for _again in range(2):
+            for _h, i, n in mine:
+                a, z = at, min(at + n, goals[no])
+                while a < z:
+                    b = a // 17
+                    want.setdefault(i, []).append((slots[no, b], a - at, min(z, (b + 1) * 17) - a))
+                    a = (b + 1) * 17
+                at += n
+    for i, _t, _s in rows:
+        assert told[i] == hashlib.sha256(",".join(":".join(map(str, r)) for r in sorted(want.get(i, []))).encode()).hexdigest()
+    first = [r.text.split()[0].split("_")[0] for r in mixing.mixed_documents(docs, block_words=17).collect() if r.text]
+    order = {}
+    for i, found in want.items():
+        order[f"w{i}"] = min(s for s, _a, _n in found)
+    assert sorted(set(first)) == sorted(order) and first[0] in [k for k, v in order.items() if v == min(order.values())]
+    monkeypatch.setattr(mixing, "STEP", 1)
+    other = {r.doc_id: r.slots_sha256 for r in mixing.taken_words(docs, block_words=17).collect()}
+    assert sum(other[i] != told[i] for i in other) > 100

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import scale
-from tidemark.llm.text import alnum_words, join_rows, numbered_rows
+from tidemark.llm.text import alnum_words, identified, join_rows, stable_rows, unwrapped
 
 GRAM_WORDS = 10
 MAX_BYTES = 64 << 20
@@ -65,7 +65,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n=GRAM_WORDS, doc_id="doc_id", t
     gram = scale.pin(grams(benchmark, n))
     size = gram.agg(F.coalesce(F.sum(F.octet_length("gram") + F.octet_length("anchor") + 64 + 24 * F.size("items")), F.lit(0))).first()[0]
     blocks = 1 + int(size // max_bytes)
-    words = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", alnum_words("text").alias("words"))
+    words = stable_rows(docs, doc_id, text).select("row_id", "doc_id", alnum_words("text").alias("words"))
     found = None
     for b in range(blocks):
         block = gram if blocks == 1 else gram.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)
@@ -90,12 +90,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode="documents", text="text",
 
     Removing spans leaves the characters between words as they are.
     """
-    names = docs.columns
-    bad = find(docs, benchmark, doc_id=doc_id, text=text, **options).where("n_hit > 0")
-    whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    whole = identified(docs)
+    bad = find(whole, benchmark, doc_id=doc_id, text=text, **options).where("n_hit > 0")
     if mode == "documents":
-        kept = join_rows(whole, bad.select("row_id"), "left_anti")
-        return kept.select(*[F.col("doc").getField(c).alias(c) for c in names])
+        return unwrapped(join_rows(whole, bad.select("row_id"), "left_anti"))
     if mode != "spans":
         raise ValueError("mode is documents or spans")
     marked = whole.join(bad.select("row_id", "hits"), "row_id", "left")
@@ -106,7 +104,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode="documents", text="text",
     kept_words = F.transform(found, lambda w, i: F.when(F.array_contains(hit_words, i), F.lit("")).otherwise(w))
     rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(kept_words, F.slice(gaps, F.lit(2), F.greatest(F.size(found), F.lit(0))), lambda w, g: F.concat(w, g)), ""))
     cut = F.when(F.col("hits").isNotNull(), rest).otherwise(body)
-    return marked.select(*[cut.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names])
+    return unwrapped(marked, **{text: cut})
 
 
 ORACLE = """

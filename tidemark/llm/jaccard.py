@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark import scale
 from tidemark.llm import hashing
 from tidemark.llm.components import components
-from tidemark.llm.text import join_rows, numbered_rows
+from tidemark.llm.text import identified, join_rows, stable_rows, unwrapped
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -391,7 +391,7 @@ def set_table(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc_id", text="text"):
     """(documents: row_id, doc_id, class, n; links: a, b between classes, a spanning forest of all links)."""
-    rows = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = stable_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
     both = scale.pin(described(rows, words))
     found = both.where("slice is null").select("row_id", "doc_id", "class", "n")
     levels = rarity(both.where("slice is not null").select("slice", "at", "add"))
@@ -460,7 +460,6 @@ def join(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc_id", text="t
 
 def keep_one(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc_id", text="text") -> DataFrame:
     """`docs` with all columns, of every component only the document with the least id."""
-    names = docs.columns
-    gone = join(docs, words, percent, doc_id, text).where("row_id <> first_row").select("row_id")
-    whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    return join_rows(whole, gone, "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in names])
+    whole = identified(docs)
+    gone = join(whole, words, percent, doc_id, text).where("row_id <> first_row").select("row_id")
+    return unwrapped(join_rows(whole, gone, "left_anti"))

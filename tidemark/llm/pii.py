@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import scale
-from tidemark.llm.text import numbered_rows, spans
+from tidemark.llm.text import identified, spans, stable_rows, unwrapped
 
 KINDS = ("email", "ip", "card", "phone", "handle", "number")
 BASE = 4
@@ -117,7 +117,7 @@ LEVELS = {"kind": len(KINDS), "digits": 8, "gaps": 4, "dots": 5, "mark": 4, "sam
 
 def candidates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """row_id, doc_id, found array<struct<start, kind_no, end, kind, valid, f>> of all generators; f holds the features. Written once, without texts."""
-    rows = numbered_rows(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = stable_rows(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
     lists = []
     for no, kind in enumerate(KINDS):
         lists.append(F.transform(proposed(F.col("text"), kind), _described(no, kind)))
@@ -256,9 +256,8 @@ def redactions(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def redact(docs: DataFrame, doc_id="doc_id", text="text", mark="[{}]") -> DataFrame:
     """`docs` with every selected span replaced by its kind; of overlapping spans the first one names the whole."""
-    names = docs.columns
-    found = redactions(docs, doc_id, text).select("row_id", "found")
-    whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    whole = identified(docs)
+    found = redactions(whole, doc_id, text).select("row_id", "found")
     body = F.col("doc").getField(text)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -269,4 +268,4 @@ def redact(docs: DataFrame, doc_id="doc_id", text="text", mark="[{}]") -> DataFr
 
     rest = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
     cut = F.when(F.size("found") > 0, rest).otherwise(body)
-    return whole.join(found, "row_id").select(*[cut.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names])
+    return unwrapped(whole.join(found, "row_id"), **{text: cut})

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark import scale
 from tidemark.llm import hashing
-from tidemark.llm.text import numbered_rows
+from tidemark.llm.text import stable_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -381,7 +381,7 @@ def removal(docs: DataFrame, length=LENGTH, doc_id="doc_id", text="text", hot=HO
     Both are laid out by row_id. Texts are exchanged once: the join that gives anchors to their texts and the join
     of the ranges with `rows` read the same exchange, so its columns are the same in both.
     """
-    plain = numbered_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
+    plain = stable_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
     anchors = anchor_rows(plain.where(F.length("text") >= length).select("row_id", "text"), length)
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = anchors.join(often, "anchor").select("row_id", F.when(F.col("n") > hot, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))

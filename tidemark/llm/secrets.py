@@ -4,7 +4,7 @@ Every version of every path is addressed by its content (SHA-256). The ledger kn
 versions have seen which contents; only unseen pairs are scanned, one text per content, and the
 findings are joined back to all paths that hold it. A rule is named kind@version; a changed
 pattern is a new version and makes just that rule run again. `scan` returns the findings
-and the entries to append to the ledger.
+and the entries to append to the ledger; `update` does so with a ledger kept as a table.
 
 Texts are not shuffled as long as the contents to scan, one number each, are few enough to broadcast (measured);
 beyond that they are shuffled once. A content held by a third of all paths is scanned once, and
@@ -15,11 +15,12 @@ texts are scanned whole (all patterns run without nested backtracking); an empty
 other columns are ignored.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import scale
-from tidemark.llm.text import join_rows, numbered_rows, spans, tagged
+from tidemark.llm.text import join_rows, spans, stable_rows, tagged
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -55,7 +56,7 @@ def _found(text: Column, todo: Column, no: int, rule) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, doc_id="doc_id", text="text"):
     """(paths, entries): row_id, doc_id, blob, found for every path; blob, rules, found to append to the ledger."""
     names = rule_names(rules)
-    rows = numbered_rows(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = stable_rows(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
     paths = scale.pin(rows.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("blob")))
     every = F.array(*[F.lit(n) for n in names])
     blobs = paths.groupBy("blob").agg(F.min("row_id").alias("row_id"))
@@ -79,6 +80,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, doc_id="
     return back.select("row_id", "doc_id", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), entries
 
 
+def update(docs: DataFrame, path: str, rules=RULES, doc_id="doc_id", text="text"):
+    """`scan` against the ledger kept at `path` (none yet: everything is unseen), with the new entries appended to it.
+
+    Entries are written before the findings are used, and an entry that is there twice says the same, so an update that stopped may be run again.
+    """
+    spark = docs.sparkSession
+    try:
+        ledger = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        ledger = None
+    paths, entries = scan(docs, ledger, rules, doc_id, text)
+    entries.write.mode("append").parquet(path)
+    return paths, entries
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 k(no, kind, pat) AS (VALUES (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),

@@ -1,10 +1,11 @@
 """Column helpers shared by the text operators.
 
-Row identity. Operators that bring results back to rows number them with `row_id`.
-It is stable when the input is a file scan or a checkpoint, which is what the
-operators expect; write the rows first when they come out of a shuffle.
+Row identity. Operators that bring results back to rows name them by `row_id`: the number of a row's file
+among the sorted files, and its place in the file. It does not depend on how a scan is split, so a cluster may grow or lose executors
+between two scans. Rows that are no Parquet scan are written first and numbered as they were written.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,45 @@ def alnum_words(text) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), ALNUM_GAP), ""), F.array().cast("array<string>"))
 
 
+#: A row per file is sent to the driver and to the tasks; rows per file stay below 2 ** ROW_BITS.
+MOST_FILES, ROW_BITS = 1 << 21, 41
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """`row_id` and `doc`, a struct of all columns of `docs`; given such a table, that table."""
+    from tidemark import scale
+
+    if docs.columns == ["row_id", "doc"]:
+        return docs
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    try:
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select(meta["file_path"].alias("file"), meta["row_index"].alias("at"), doc)
+    except AnalysisException:
+        return scale.pin(docs.select(F.monotonically_increasing_id().alias("row_id"), doc))
+    files = sorted(r["file"] for r in placed.select("file").distinct().limit(MOST_FILES + 1).collect())
+    if len(files) > MOST_FILES:
+        raise ValueError(f"a table of more than {MOST_FILES} files; write it in larger ones")
+    if len(files) < 2:
+        return placed.select(F.col("at").alias("row_id"), "doc")
+    numbers = docs.sparkSession.createDataFrame([(f, n << ROW_BITS) for n, f in enumerate(files)], "file string, base bigint")
+    return placed.join(F.broadcast(numbers), "file").select((F.col("base") + F.col("at")).alias("row_id"), "doc")
+
+
+def stable_rows(docs: DataFrame, doc_id="doc_id", text="text", **more) -> DataFrame:
+    """`row_id`, `doc_id`, `text` and the columns named in `more`, with a row_id that other scans of the same table give too."""
+    columns = {"doc_id": doc_id, "text": text, **more}
+    return identified(docs).select("row_id", *[F.col("doc").getField(c).alias(name) for name, c in columns.items()])
+
+
+def unwrapped(whole: DataFrame, **replaced) -> DataFrame:
+    """The columns of `doc` again, those in `replaced` by an expression."""
+    names = whole.schema["doc"].dataType.names
+    return whole.select(*[replaced[c].alias(c) if c in replaced else F.col("doc").getField(c).alias(c) for c in names])
+
+
 def numbered_rows(docs: DataFrame, doc_id="doc_id", text="text", **more) -> DataFrame:
-    """`row_id`, `doc_id`, `text` and the columns named in `more`, whatever else the table holds."""
+    """`row_id`, `doc_id`, `text` and the columns named in `more`, whatever else the table holds. The numbers hold within one scan."""
     extra = [F.col(f"`{c}`").alias(name) for name, c in more.items()]
     return docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *extra
