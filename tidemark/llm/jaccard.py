@@ -13,7 +13,8 @@ Documents with the same set of shingles form a class; everything below works on
    already. Pairs of leaves are verified on the sets themselves.
    Every class is first compared in the largest of its groups; then only groups that still hold more than one
    component are taken up again. So a large set of near copies costs about one
-   comparison per copy, while no link between components can be missed.
+   comparison per copy, while no link between components can be missed. What is taken up again is
+   pruned twice, by short bitmaps of fixed length and then by long ones of FINE bits per shingle, before sets travel.
 3. Components of the links that connect (a spanning forest per group) by distributed star operations.
 
 Bounded work: a group is cut into blocks of BLOCK_CLASSES classes or BLOCK_TOKENS shingles, and
@@ -47,6 +48,7 @@ WORDS, PERCENT = 5, 80
 BUCKETS, SLICES = 1 << 20, 16
 BLOCK_CLASSES, BLOCK_TOKENS = 2000, 2_000_000
 BITS, FAN = 2048, 16
+FINE = 8
 
 
 def _sets(batches, words):
@@ -300,6 +302,41 @@ def open_members(size, bits, label, percent) -> np.ndarray:
     return found
 
 
+def fine_bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap whose length, a power of two, grows with the set: FINE bits per shingle or more."""
+    length = max(BITS, 1 << int(FINE * len(tokens) - 1).bit_length())
+    bits = np.zeros(length, np.uint8)
+    bits[(tokens >> np.uint64(20)).astype(np.int64) & (length - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _folded(raw: bytes, length: int) -> np.ndarray:
+    """A bitmap of `length` bytes from one that is as long or twice as long: places are hashes modulo the length."""
+    bits = np.frombuffer(raw, np.uint8)
+    return (bits if len(bits) == length else bits[:length] | bits[length:]).view(np.uint64)
+
+
+def finely_open(size, raw, label, percent) -> np.ndarray:
+    """As `open_members`, by bitmaps of each set's own length.
+
+    Sets that can link differ little in size, so their lengths are equal or differ by a factor of two. Each length has a
+    tree of its own, with the sets of twice the length folded down to it; pairs of the latter are left to their own tree.
+    """
+    found, length = np.zeros(len(size), bool), np.array([len(r) for r in raw])
+    for wide in np.unique(length):
+        near = np.flatnonzero((length == wide) | (length == 2 * wide))
+        tree = Tree(size[near], np.stack([_folded(raw[k], wide) for k in near]), percent)
+        mine, own = label[near], length[near] == wide
+        for a, b, c, d in tree.leaves(_alike(mine)):
+            for i in range(a, b):
+                js = np.arange(max(c, i + 1), d)
+                js = js[(mine[js] != mine[i]) & (own[js] | own[i])]
+                js = tree.open_pairs(i, js) if len(js) else js
+                found[near[js]] = True
+                found[near[i]] |= len(js) > 0
+    return found
+
+
 def _alike(label):
     def test(a, b, c, d):
         one = label[a]
@@ -330,8 +367,15 @@ def tree_links(ids, sets, labels, percent):
     return links
 
 
-def still_open(members: DataFrame, described_classes: DataFrame, percent: int) -> DataFrame:
-    """The rows gid, class, label of `members` that the bitmaps (class, n, bits) do not rule out."""
+def _with_facts(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """`members` (narrow, pinned) with what is known of their classes. While the members fit a broadcast, the wide side is not shuffled for the join."""
+    rows, size = scale._size(members)
+    small = rows <= scale.BROADCAST_ROWS and size <= scale.BROADCAST_BYTES
+    return facts.join(F.broadcast(members), "class") if small else members.join(facts, "class")
+
+
+def still_open(members: DataFrame, described_classes: DataFrame, percent: int, fine=False) -> DataFrame:
+    """The rows gid, class, label of `members` that the bitmaps (class, n, bits; `fine`: of any length) do not rule out."""
 
     def run(batches):
         out, names = ([], [], []), ["gid", "class", "label"]
@@ -339,9 +383,13 @@ def still_open(members: DataFrame, described_classes: DataFrame, percent: int) -
             label = np.concatenate([p.column("label").to_numpy()[a:b] for p, a, b in parts])
             c = np.concatenate([p.column("class").to_numpy()[a:b] for p, a, b in parts])
             n = np.concatenate([p.column("n").to_numpy()[a:b] for p, a, b in parts]).astype(np.int64)
-            bits = np.frombuffer(b"".join(x.as_py() for p, a, b in parts for x in p.column("bits").slice(a, b - a)), np.uint64).reshape(len(c), -1)
+            raw = [x.as_py() for p, a, b in parts for x in p.column("bits").slice(a, b - a)]
             order = np.lexsort((c, n))
-            kept = order[open_members(n[order], bits[order], label[order], percent)]
+            if fine:
+                kept = order[finely_open(n[order], [raw[k] for k in order], label[order], percent)]
+            else:
+                bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(c), -1)
+                kept = order[open_members(n[order], bits[order], label[order], percent)]
             for x, v in zip(out, (np.full(len(kept), gid), c[kept], label[kept]), strict=True):
                 x.append(v)
             if len(out[0]) >= 5000:
@@ -350,7 +398,7 @@ def still_open(members: DataFrame, described_classes: DataFrame, percent: int) -
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    rows = members.join(described_classes, "class").select("gid", "class", "label", "n", "bits")
+    rows = _with_facts(members, described_classes).select("gid", "class", "label", "n", "bits")
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "gid bigint, class bigint, label bigint")
 
 
@@ -373,10 +421,23 @@ def verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    rows = members.join(sets, "class").select("gid", "class", "label", "tokens")
+    rows = _with_facts(members, sets).select("gid", "class", "label", "tokens")
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
 
 
+def fine_facts(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """class, n, bits (of the set's own length) of the classes in `members`."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column("tokens")]
+            n, bits = pa.array([len(t) for t in tokens], pa.int32()), pa.array([fine_bitmap(t) for t in tokens], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), n, bits], ["class", "n", "bits"])
+
+    wanted = scale.join_small(sets, members.select("class").distinct(), "class", "left_semi")
+    return wanted.select("class", "tokens").mapInArrow(run, "class bigint, n int, bits binary")
+
+
 def set_table(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class, tokens (sorted 64-bit hashes) of the rows in `wanted` (row_id)."""
 
@@ -405,6 +466,7 @@ def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc
     members = scale.pin(still_open(every, facts, percent))
     size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
     first = members.join(size, "gid").groupBy("class").agg(F.max(F.struct("size", "gid")).alias("g")).select("class", F.col("g.gid").alias("gid"), F.col("class").alias("label"))
+    first = scale.pin(first)
     wanted = found.where("n > 0").join(first.unionByName(blocks.select("class", "gid", F.col("class").alias("label"))).select("class"), "class", "left_semi")
     sets = scale.pin(set_table(rows.select("row_id", "text"), wanted.groupBy("class").agg(F.min("row_id").alias("row_id")).select("row_id"), words))
     links = scale.pin(verified(first, sets, percent))
@@ -415,7 +477,8 @@ def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc
     across = _across(blocks, label)
     if across is not None:
         again = again.unionByName(across)
-    left = scale.pin(still_open(again, facts, percent))
+    left = scale.pin(still_open(scale.pin(again), facts, percent))
+    left = scale.pin(still_open(left, fine_facts(sets, left), percent, fine=True))
     return found, links.unionByName(scale.pin(verified(left, sets, percent)))
 
 
