@@ -159,6 +159,35 @@ def test_boosting_learns_a_rule():
     assert set(pii.thresholds(rows, model, 0.9)) == {0, 1} and pii.thresholds(rows, model, 0.999) == {}
 
 
+def test_the_model_adds_what_looks_alike_and_leaves_decoys(spark, tmp_path):
+    """Spelled-out addresses and numbers without a prefix, in places where valid ones stand, are outside of every base pattern."""
+    rng = random.Random(8)
+    rows, planted, decoys = [], {}, {}
+    for i in range(900):
+        name, part = f"u{rng.randint(0, 999)}x", f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+        kind = i % 9
+        if kind < 3:
+            body = f"write to {name}@h{i % 7}.org soon"
+        elif kind < 6:
+            body = f"lorem call +1 {part} ipsum"
+        elif kind == 6:
+            body, decoys[i] = f"lorem {name} (at) dolor sit", f"{name} (at) dolor"
+        else:
+            body, decoys[i] = f"order no {part} of lorem", part
+        rows.append((i, body))
+    for i in range(900, 930):
+        spelled, number = f"v{i} (at) h{i}.org", f"415 {i} 0{i}"
+        rows.append((i, f"write to {spelled} or call 1 {number} today"))
+        planted[i] = (spelled, number)
+    docs = table(spark, rows, tmp_path / "d")
+    texts = dict(rows)
+    got = {r.doc_id: (set(r.f.split(",")) - set(r.b.split(","))) for r in pii.redactions(docs).select("doc_id", span_digest(F.col("base")).alias("b"), span_digest(F.col("found")).alias("f")).collect()}
+    added = {i: [texts[i][int(a) : int(b)] for _k, a, b in (x.split(":") for x in found)] for i, found in got.items()}
+    assert sum(any(spelled in x for x in added[i]) for i, (spelled, _n) in planted.items()) >= 27
+    assert sum(any(number in x for x in added[i]) for i, (_s, number) in planted.items()) >= 27
+    assert not any(added[i] for i in decoys) and not any(added[i] for i in range(900) if i % 9 < 6)
+
+
 # ------------------------------------------------------------------ mixing
 
 
