@@ -108,3 +108,16 @@ def test_layout_join(spark):
     pre = spark.createDataFrame([(1, "s3://st/a"), (2, "gs://other")], "prefix_id bigint, url string")
     got = {r.prefix_id: (r.scheme, r.store_name, r.path_prefix) for r in catalog.attach_layout(inv, pre).collect()}
     assert got == {1: ("s3", "st", "a/"), 2: ("gs", "other", "")}
+
+
+def test_common_prefix_of_random_texts(spark):
+    import os
+    import random
+
+    rng = random.Random(3)
+    data = {g: ["".join(rng.choice("ab/") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))] for g in range(150)}
+    data |= {g + 1000: [f"db{g}/" + t for t in texts] for g, texts in data.items()}
+    data |= {5000: ["a/b/x1", "a/b/x2"], 5001: ["a/", "a/b/c"], 5002: ["a/bc/d", "a/bd/e"], 5003: ["a/b", "a/b/c"], 5004: ["only/one"]}
+    df = spark.createDataFrame([(g, t) for g, texts in data.items() for t in texts] + [(9999, None)], "g bigint, t string")
+    got = {r.g: r.common_prefix for r in estate.common_prefix(df, "g", "t").collect()}
+    assert got == {g: os.path.commonprefix(texts) for g, texts in data.items()} | {9999: None}

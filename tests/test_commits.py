@@ -103,3 +103,33 @@ def test_a_batch_run_twice_leaves_the_same_rows(spark, tmp_path):
     once = seen(spark, root)
     commits.write_batch(batch.repartition(3), 0, root)
     assert seen(spark, root) == once == (["a"], [("a", "1"), ("a", "2")])
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_sessions_of_a_busy_prefix(spark, tmp_path, cuts):
+    from tidemark.streaming import sessions
+
+    rng = random.Random(cuts + 10)
+    events, at = [], 0
+    for k in range(1500):
+        at += rng.choice([1, 5, 30] * 8 + [599, 600, 601, 1500, 4000])
+        events.append((START + datetime.timedelta(seconds=at, microseconds=k), 1, "wal-fetch", "k", "s", "busy" if k % 10 else "idle", "begin", None))
+    events.append((START + datetime.timedelta(seconds=at + 9000), 1, "wal-fetch", "k", "s", "last", "begin", None))
+    mark = events[-1][0] - datetime.timedelta(hours=1)
+    want = []
+    for prefix in ("busy", "idle", "last"):
+        times = [e[0] for e in events if e[5] == prefix]
+        run = [times[0]]
+        for t in [*times[1:], datetime.datetime.max]:
+            if t - run[-1] >= datetime.timedelta(minutes=10):
+                if run[-1] + datetime.timedelta(minutes=10) <= mark:
+                    want.append((prefix, run[0], run[-1] + datetime.timedelta(minutes=10), len(run)))
+                run = []
+            run.append(t)
+    events.sort(key=lambda e: e[0] + datetime.timedelta(seconds=random.Random(str(e)).randint(0, 1500)))
+    size = -(-len(events) // cuts)
+    for n in range(0, len(events), size):
+        spark.createDataFrame(events[n : n + size], EVENTS).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n:05}"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out, _ = log_stream.run_available(sessions.restore_sessions(stream), "s", folder=str(tmp_path / "out"), wanted=frontier.SETTINGS)
+    assert rows(out) == sorted(want, key=repr) and len(want) > 20

@@ -60,20 +60,33 @@ def common_keys(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("prefix_id", "key", "size").intersect(new.select("prefix_id", "key", "size"))
 
 
+def _shared_start(ends: DataFrame) -> DataFrame:
+    """Add `shared`, the longest common start of `_lo` and `_hi`."""
+    n = F.least(F.length("_lo"), F.length("_hi"))
+    differs = F.expr(
+        "filter(sequence(1, greatest(least(length(_lo), length(_hi)), 1)), i -> substring(_lo, i, 1) <> substring(_hi, i, 1))"
+    )
+    return ends.withColumn("shared", F.col("_lo").substr(F.lit(1), F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n)))
+
+
 def common_prefix(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Longest common prefix of all texts of a group, char by char, and its directory.
 
     It equals the common prefix of the smallest and the largest text, so the
-    group itself is never gathered.
+    group itself is never gathered. Texts are first reduced to their folders (a hash aggregate); only the folders are
+    ordered. That settles every group unless texts lie directly in the common folder: of those groups alone the texts are ordered.
     """
-    ends = texts.groupBy(key).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi"))
-    n = F.least(F.length("_lo"), F.length("_hi"))
-    differs = F.expr(
-        "filter(sequence(1, greatest(least(length(_lo), length(_hi)), 1)), i -> substring(_lo, i, 1) <> substring(_hi, i, 1))"
-    )
-    shared = F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n)
-    lcp = F.col("_lo").substr(F.lit(1), shared)
-    return ends.select(key, lcp.alias("common_prefix")).withColumn("common_dir", names.dir_name("common_prefix"))
+    t = F.col(text)
+    folder = t.substr(F.lit(1), F.length(t) - F.length(F.substring_index(t, "/", -1)))
+    folders = scale.pin(texts.select(key, folder.alias("_in")).distinct())
+    top = _shared_start(folders.groupBy(key).agg(F.min("_in").alias("_lo"), F.max("_in").alias("_hi"))).select(key, "shared")
+    top = scale.pin(top)
+    open_ = scale.join_small(folders, top, key).where("_in = shared").select(key).distinct()
+    direct = scale.join_small(texts.select(key, text), open_, key, "left_semi")
+    ends = direct.groupBy(key).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi"))
+    exact = _shared_start(ends).select(key, F.col("shared").alias("_exact"))
+    both = scale.join_small(top, exact, key, "left")
+    return both.select(key, F.coalesce("_exact", "shared").alias("common_prefix")).withColumn("common_dir", names.dir_name("common_prefix"))
 
 
 def ancestors(path) -> Column:

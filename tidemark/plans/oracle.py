@@ -581,6 +581,7 @@ _SQL["distinct_of_days"] = """
 _SQL["rate_quantiles"] = """
         SELECT prefix, strftime(ts, '%Y-%m-%d') AS day, count(*) AS uploads, quantile_disc(rate, 0.5) AS p50, quantile_disc(rate, 0.95) AS p95
         FROM typed WHERE action = 'push-wal' AND state = 'complete' GROUP BY prefix, day"""
+_SQL["stream_sessions_of_ticks"] = _SQL["stream_restore_sessions"]
 _SQL["sentinel_files"] = _SQL["backup_list_detail"]
 _SQL["inventory_changes"] = _SQL["inventory_diff"]
 _SQL["footprint_maintained"] = f"""

@@ -13,7 +13,7 @@ from tidemark.sinks import archive as sink
 from tidemark.sinks import commits
 from tidemark.sources import archive as source
 from tidemark.sources import inventory, listing, records
-from tidemark.streaming import frontier, log_stream, uploads
+from tidemark.streaming import frontier, log_stream, sessions, uploads
 
 KEEP = 5
 PENDING = 10
@@ -902,6 +902,13 @@ def _(spark, sf):
     return arrived.join(kept, "prefix").select("prefix", "arrived", "kept", (F.col("arrived") - F.col("kept")).alias("late"))
 
 
+@query("stream_sessions_of_ticks", "ST7 ST4")
+def _(spark, sf):
+    """The same sessions, out of ticks: a busy prefix sends one row per task and tick."""
+    out, _q = log_stream.run_available(sessions.restore_sessions(_stream(spark, sf)), "ticks", wanted=frontier.SETTINGS)
+    return out.select("prefix", _micros("session_start"), _micros("session_end"), "fetches")
+
+
 @query("stream_commit", "SK2 SK3 SC2")
 def _(spark, sf):
     """Members and stops of backups stream into an archive; only backups whose sentinel was committed are seen."""
