@@ -136,3 +136,15 @@ def test_volumes_keep_ids_of_digits(spark, tmp_path):
     path = str(tmp_path / "digits")
     sink.write_volumes(files, packing.pack(m, 100, 100), path)
     assert sorted(r.cluster_id for r in sink.read_volumes(spark, path).collect()) == ["007", "010", "7"]
+
+
+def test_the_written_delete_plan_says_what_it_would_delete(spark, tmp_path):
+    root = f"db/basebackups_005/base_{SEG[:-1]}"
+    keys = [f"{root}{n}_00000028_backup_stop_sentinel.json" for n in (1, 2, 3)] + [f"db/wal_005/{SEG[:-1]}{n}.lzo" for n in (1, 2, 3)] + ["db/wal_005/odd"]
+    listed = spark.createDataFrame([(1, "b", k, n, "db/") for n, k in enumerate(keys)], "prefix_id bigint, bucket string, key string, size bigint, path_prefix string")
+    c = classify.classify_keys(listed.withColumn("last_modified", F.timestamp_seconds("size")))
+    report = retention.delete_report(retention.delete_retain(c, catalog.complete_backups(c), 2), F.lit("s3"))
+    sink.write_delete_plan(report, str(tmp_path / "plan"))
+    got = {r.key: r for r in spark.read.parquet(str(tmp_path / "plan")).collect()}
+    assert set(got) == {keys[0], keys[3]} and all(r.dry_run and r.url == f"s3://b/{k}" for k, r in got.items())
+    assert got[keys[3]].thing == "a wal file" and got[keys[3]].hint == "This is only a dry run -- no actual data is being deleted"
