@@ -362,3 +362,22 @@ def test_the_result_follows_the_schedule(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "STEP", 1)
     other = {r.doc_id: r.slots_sha256 for r in mixing.taken_words(docs, block_words=17).collect()}
     assert sum(other[i] != told[i] for i in other) > 100
+
+
+# ------------------------------------------------------------------ shared parts
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_join_back_by_shuffle_equals_broadcast(spark, tmp_path, how):
+    docs = text.stable_rows(table(spark, [(k, f"t{k}") for k in range(500)], tmp_path / "d"))
+    chosen = docs.where("doc_id % 3 = 0").select("row_id", F.lit(1).alias("mark") if how != "left_anti" else F.col("row_id").alias("same"))
+    chosen = chosen.select("row_id") if how == "left_anti" else chosen
+    small = sorted(map(str, text.join_rows(docs, chosen, how).collect()))
+    assert sorted(map(str, text.join_rows(docs, chosen, how, max_rows=0).collect())) == small and small
+
+
+def test_clashing_columns_in_the_benchmark(spark, tmp_path):
+    docs, items = table(spark, [(1, "x a b c d e f g h i j k l y"), (2, "clean")], tmp_path / "d"), bench(spark, tmp_path / "b")
+    more = items.withColumns({c: F.lit("clash") for c in ("gram", "anchor", "cut", "items", "words", "item", "row_id")})
+    plain = decontaminate.find(docs, items).select("doc_id", "n_hit", "items")
+    assert sorted(map(str, decontaminate.find(docs, more).select("doc_id", "n_hit", "items").collect())) == sorted(map(str, plain.collect()))

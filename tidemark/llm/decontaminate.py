@@ -11,8 +11,8 @@ blocks that fit, and the documents are scanned once for each block.
 
 Defined cases: null and empty texts have no words and no hits; a null or repeated item id is an id like any
 other (null ids are not listed); rows with the same doc_id are judged each; a gram that is contained in
-many items names all of them; an empty benchmark contaminates nothing; other columns are ignored or,
-in `clean`, kept.
+many items names all of them; an empty benchmark contaminates nothing; very long texts are
+scanned whole; an empty table gives no rows; other columns are ignored or, in `clean`, kept.
 """
 
 from pyspark.sql import DataFrame

@@ -24,7 +24,8 @@ Class ids are 64-bit hashes; among n classes about n^2 / 2^65 may collide.
 
 Defined cases: null texts and texts without words have an empty set, no links, and are components of their own; fewer words than
 a shingle count as one shingle; ids may be null (never the least of a component with other ids) or
-repeated (rows are judged each); an empty table gives no rows; other columns are ignored.
+repeated (rows are judged each; of rows that share the least id the first by place stays); very long texts are taken whole, in groups of bounded
+size; an empty table gives no rows; other columns are ignored.
 """
 
 import hashlib

@@ -12,8 +12,8 @@ Only (row, source, size) rows are shuffled. A hot source is numbered in pieces
 
 Defined cases: null source is a source of its own, ordered last; null text has size
 0; a document without words is never taken; an empty table gives no rows; rows with
-the same id are separate rows, in an order fixed by id, size and position; other
-columns are ignored.
+the same id are separate rows, in an order fixed by id, size and position; a very long text is counted whole
+and lies in as many slots as it has blocks; other columns are ignored.
 """
 
 from pyspark.sql import DataFrame, Window

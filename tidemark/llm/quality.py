@@ -11,7 +11,8 @@ once, without the texts.
 
 Defined cases: null and empty texts have no words and fail; texts with fewer than 50 words fail whatever
 the votes; an empty table gives no rows; every row is judged by itself, so ids may be null or repeated;
-other columns are ignored.
+equal vote patterns get equal verdicts, and a posterior on the threshold is kept; very long texts are measured whole, with memory in
+proportion to the longest text of a task; other columns are ignored.
 """
 
 import sys

@@ -13,7 +13,8 @@ texts without a shuffle.
 
 Defined cases: null and empty texts have no sentence and score 0; a null id counts as not held
 out and is never trained on; several labels for one id count as toxic if one is; without
-labels of both kinds nothing is toxic; repeated rows are scored each; other columns are ignored.
+labels of both kinds nothing is toxic; repeated rows are scored each; very long texts
+are scored whole, sentence by sentence; an empty table gives no rows; other columns are ignored.
 """
 
 import re
