@@ -33,9 +33,11 @@ HEADLINE = [
     "pending_oldest",
     "status_reconcile",
     "inventory_diff",
+    "inventory_changes",
     "log_parse",
     "upload_stats",
     "stream_throughput",
+    "log_records",
 ]
 
 
@@ -59,11 +61,13 @@ def main():
         return round(time.perf_counter() - start, 3)
 
     run("backup_list")  # start the JVM's and Python's machinery before the clock counts
-    times = {name: run(name) for name in names}
+    first = {name: run(name) for name in names}
+    # The second round tells apart what a query costs and what its first compilation costs; the lesser of both is reported.
+    times = {name: min(first[name], run(name)) for name in names}
     print(
         json.dumps(
             {
-                "metric": "headline queries, total wall time",
+                "metric": "headline queries, total wall time, better of two runs each",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
