@@ -69,7 +69,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, doc_id="
     if ledger is None:
         due = join_rows(rows.select("row_id", "text"), todo.select("row_id")).select("text", every.alias("todo"))
     else:
-        due = join_rows(rows.select("row_id", "text"), todo).select("text", "todo")
+        # The rules that are due travel as bits; the texts' side gets their names back.
+        bits = sum((F.when(F.array_contains("todo", n), 1 << k).otherwise(0) for k, n in enumerate(names)), F.lit(0)).cast("bigint")
+        due = join_rows(rows.select("row_id", "text"), todo.select("row_id", bits.alias("bits")))
+        due = due.select("text", F.filter(every, lambda _n, k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1).alias("todo"))
     found = F.concat(*[_found(F.col("text"), F.col("todo"), no, rule) for no, rule in enumerate(rules)])
     entries = scale.pin(due.select(F.unhex(F.sha2("text", 256)).alias("blob"), F.col("todo").alias("rules"), found.alias("found")))
     known = entries if ledger is None else entries.unionByName(ledger.select("blob", "rules", "found"))
