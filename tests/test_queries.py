@@ -52,7 +52,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
-    assert set(QUERIES) <= set(e.queries()) and set(QUERIES) <= set(e.oracle_sql())
+    assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
