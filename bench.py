@@ -33,7 +33,6 @@ HEADLINE = [
     "pending_oldest",
     "status_reconcile",
     "inventory_diff",
-    "inventory_changes",
     "log_parse",
     "upload_stats",
     "stream_throughput",

@@ -52,7 +52,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how="inner", max_rows=BROAD
 
     The small side is pinned and measured first. Within the limits it is
     broadcast, so the large side is not shuffled at all. Beyond them both sides
-    are shuffled with a salt, so that a hot key is spread over SALTS tasks.
+    are shuffled with a salt, so that a hot key is spread over many tasks.
     Supports inner, left and left_semi / left_anti with the large side left.
     """
     on = [on] if isinstance(on, str) else list(on)
@@ -63,8 +63,14 @@ def join_small(big: DataFrame, small: DataFrame, on, how="inner", max_rows=BROAD
     return salted_join(big, small, on, how)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on, how="inner", salts=SALTS) -> DataFrame:
+def salts_of(spark) -> int:
+    """Salts that spread one key over a good part of the session's tasks: an eighth of the shuffle partitions, SALTS at least, eight times SALTS at most."""
+    return min(8 * SALTS, max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on, how="inner", salts=None) -> DataFrame:
     """Equi join with the hot keys of `big` spread over `salts` tasks; `small` is repeated per salt."""
+    salts = salts or salts_of(big.sparkSession)
     rest = [c for c in big.columns if c not in on] or on
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big, rest)), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -83,7 +89,7 @@ def top_n(df: DataFrame, keys, order, n: int, spread="key") -> DataFrame:
     task before the shuffle. For larger n a salted first round does the same.
     """
     if n > GROUP_LIMIT_ROWS:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts_of(df.sparkSession))).cast("int"))
         first = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = df.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
