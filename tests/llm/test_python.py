@@ -288,3 +288,25 @@ def test_best_fit_decreasing(lengths):
         else:
             slow.append([k])
     assert sorted(sum(lengths[k] for k in row) for row in rows) == sorted(sum(lengths[k] for k in row) for row in slow)
+
+
+def test_long_bitmaps_leave_every_link_open():
+    """Sets of very different sizes in one group: whatever links is left open, and most of what does not is closed."""
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (5, 200, 260, 900, 5000)]
+    sets = []
+    for b in base:
+        for share in (1.0, 0.99, 0.95, 0.92, 0.9, 0.6):
+            keep = b[rng.random(len(b)) < share]
+            sets.append(np.unique(np.r_[keep, rng.integers(0, 2**63, len(b) - len(keep), dtype=np.uint64)]))
+    sets.sort(key=len)
+    size, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    found = jaccard.finely_open(size, [jaccard.fine_bitmap(s) for s in sets], label, 85)
+    linked = np.zeros(len(sets), bool)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both * 100 >= 85 * (len(a) + len(b) - both):
+                linked[[i, j]] = True
+    assert linked.any() and found[linked].all() and found.sum() < len(sets)
+    assert not jaccard.finely_open(size, [jaccard.fine_bitmap(s) for s in sets], np.zeros(len(sets), int), 85).any()
