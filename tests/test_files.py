@@ -1,4 +1,6 @@
+import gzip
 import os
+import re
 import subprocess
 
 import pytest
@@ -73,6 +75,32 @@ def test_sentinel_files(spark, tmp_path):
     assert catalog.parse_detail(s).first().expanded_size_bytes == 9
 
 
+def test_sentinel_files_are_listed_by_tasks(spark, tmp_path):
+    """As Spark's own reader finds them, but no plan holds their names."""
+    name = f"base_{SEG}_{{:08X}}_backup_stop_sentinel.json"
+    for k, home in enumerate(["a", "a/b c%20", "x/ü", "_hidden", "x/.tmp", "x/part=1"]):
+        d = tmp_path / home / "basebackups_005"
+        d.mkdir(parents=True)
+        for n in range(3):
+            (d / name.format(16 * k + n)).write_bytes(b'{"n":\r\n\xff %d}' % n)
+        (d / (name.format(16 * k + 3) + ".gz")).write_bytes(gzip.compress(b"{}"))
+        (d / name.format(16 * k + 4)).write_bytes(b"")
+        (d / name.format(5).lower()).write_text("{}")
+
+    def plain(path):
+        r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "base_*_backup_stop_sentinel.json*").text(path, wholetext=True)
+        return sorted((re.sub("^file:/+", "file:///", r.u), bytes(r.b)) for r in r.select(F.col("_metadata.file_path").alias("u"), F.col("value").cast("binary").alias("b")).collect() if SEG in r.u)
+
+    for path in (f"{tmp_path}", f"file:{tmp_path}/*/*", f"{tmp_path}/{{a,x}}/[!a]*/base*", f"{tmp_path}/a/basebackups_005/{name.format(1)}"):
+        got = source.read_sentinels(spark, path)
+        found = sorted((re.sub("^file:/+", "file:///", r.url), bytes(r.b)) for r in got.select("url", F.col("body").cast("binary").alias("b")).collect())
+        assert found == plain(path) and found
+        assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    for path in (f"{tmp_path}/none", f"{tmp_path}/none*"):
+        with pytest.raises(Exception, match="none"):
+            source.read_sentinels(spark, path).count()
+
+
 def test_sentinel_only_when_all_went_well(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, True)], "upload_good boolean, stop_good boolean").select(
         F.lit(1).alias("prefix_id"), F.lit("n").alias("name"), F.lit("w").alias("wal_segment_backup_stop"),

@@ -6,19 +6,17 @@ from pyspark.sql import functions as F
 from tidemark.functions import names
 from tidemark.operators import placement
 from tidemark.schema import ARCHIVE_STATUS, FILE_MANIFEST
+from tidemark.sources import tree
 
 
 def read_sentinels(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Sentinel files below a path as (url, name, start segment, body), one row per file; no other file is opened."""
+    """Sentinel files below a path as (url, name, start segment, body), one row per file; no other file is opened.
+
+    Listed and read by tasks: the driver knows none of the files.
+    """
     p = names.parse_sentinel_key("url")
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "base_*_backup_stop_sentinel.json*")
-        .text(path_glob, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("body"))
-        .where(p.isNotNull())
-        .select("url", p["name"].alias("name"), p["wal_segment_backup_start"].alias("wal_segment_backup_start"), "body")
-    )
+    files = tree.list_files(spark, path_glob, "base_*_backup_stop_sentinel.json*").where(p.isNotNull())
+    return tree.read_files(files).select("url", p["name"].alias("name"), p["wal_segment_backup_start"].alias("wal_segment_backup_start"), "body")
 
 
 def _one_form(url):
