@@ -3,8 +3,10 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from models import rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import continuity
@@ -111,3 +113,99 @@ def test_runs_touch_and_merge():
     assert known == [(1, 3), (5, 9), (15, 40)]
     frontier.add_run(known, 4, 4)
     assert known == [(1, 9), (15, 40)]
+
+
+def test_runs_merge_as_they_are_added_one_by_one():
+    rng = random.Random(3)
+    for _ in range(200):
+        runs = [(lo, lo + rng.randint(0, 9)) for lo in rng.choices(range(200), k=rng.randint(0, 30))]
+        known = []
+        for run in runs:
+            frontier.add_run(known, *run)
+        assert list(map(tuple, frontier.merged(np.array(runs, np.int64).reshape(-1, 2)).tolist())) == known
+
+
+class Store:
+    """Counts the calls of a processor to its state."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, set()
+
+    def getValueState(self, name, _schema):
+        return Cell(self, name)
+
+    def getMapState(self, name, *_schemas):
+        return Cell(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _at(self, key=None):
+        self.store.calls += 1
+        return self.store.values.setdefault(self.name, {}), key
+
+    def get(self):
+        return self._at()[0][None]
+
+    def exists(self):
+        return None in self._at()[0]
+
+    def update(self, value):
+        self._at()[0][None] = value
+
+    def clear(self):
+        self._at()[0].clear()
+
+    def getValue(self, key):
+        return self._at()[0].get(key)
+
+    def containsKey(self, key):
+        return key in self._at()[0]
+
+    def updateValue(self, key, value):
+        self._at()[0][key] = value
+
+    def removeKey(self, key):
+        del self._at()[0][key]
+
+    def keys(self):
+        return list(self._at()[0])
+
+    def iterator(self):
+        return list(self._at()[0].items())
+
+
+class Times:
+    def __init__(self, mark, at=0):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: mark, lambda: at
+
+
+def fire(processor, store, key, mark):
+    """All timers up to the watermark, as Spark calls them."""
+    out = []
+    for at in sorted(t for t in store.timers if t <= mark):
+        if at in store.timers:
+            out += processor.handleExpiredTimer(key, Times(mark), Times(mark, at))
+            store.timers.discard(at)
+    return out
+
+
+def test_a_tick_of_many_runs_takes_few_calls():
+    """Two ticks of 500 runs each, in chunks of 50; each call crosses to the JVM and back."""
+    store, processor = Store(), frontier.Frontier(GRACE * 1000)
+    processor.init(store)
+    rows_in = [Row(tick=tick, lo=[p], hi=[p], runs=[Row(lo=p, hi=p)]) for tick in (600_000, 1_200_000) for p in range(tick // 600_000, 2000, 4)]
+    processor.handleInputRows(("a", "1"), iter(rows_in), None)
+    got = fire(processor, store, ("a", "1"), 10**9)
+    assert [(r.gap_from, r.gap_to) for r in got] == [(p, p + 1) for p in range(3, 1997, 4)]
+    assert store.calls < 40 and not store.values["waiting"] and not store.timers
