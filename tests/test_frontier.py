@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import continuity
-from tidemark.streaming import frontier, log_stream
+from tidemark.streaming import frontier, log_stream, uploads
 
 START = datetime.datetime(2024, 3, 1)
 TICK, GRACE = 600, 3600
@@ -209,3 +209,15 @@ def test_a_tick_of_many_runs_takes_few_calls():
     got = fire(processor, store, ("a", "1"), 10**9)
     assert [(r.gap_from, r.gap_to) for r in got] == [(p, p + 1) for p in range(3, 1997, 4)]
     assert store.calls < 40 and not store.values["waiting"] and not store.timers
+
+
+def test_an_upload_of_many_rows_takes_few_calls():
+    store, processor = Store(), uploads.Outcomes(600_000_000)
+    processor.init(store)
+    seconds = 1_000_000
+    rows_in = [Row(at=k * 1000 * seconds + d * seconds, state=s) for k in range(100) for s, d in (("begin", 0), ("skip", 9), ("complete", 9), ("skip", 700))]
+    processor.handleInputRows(("a", 1, "k"), iter(rows_in), None)
+    early = fire(processor, store, ("a", 1, "k"), 50 * 1000 * 1000)
+    late = fire(processor, store, ("a", 1, "k"), 10**9)
+    assert len(early) == 50 and [(r.begin_us, r.outcome, r.duration_us) for r in early + late] == [(k * 1000 * seconds, "complete", 9 * seconds) for k in range(100)]
+    assert store.calls < 40 and not store.values["open"]

@@ -5,10 +5,11 @@ must come before the next begin and within the bound. So a begin has at most one
 when rows repeat or begins are logged again. What counts is event time: a begin is decided once the
 watermark has passed its bound, and the result is the same however the input is cut into batches.
 
-State holds the begins that are not decided and the ends that may still answer one; both leave by timers. Needs `frontier.SETTINGS` (RocksDB).
+State holds the begins that are not decided and the ends that may still answer one; both leave by a timer for the earliest. Needs `frontier.SETTINGS` (RocksDB).
 """
 
 import sys
+from bisect import bisect_left
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -21,48 +22,56 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Outcomes(StatefulProcessor):
-    """Open begins and ends of one upload key, in microseconds."""
+    """Open begins and ends of one upload key, in microseconds: one value, and one timer for the earliest of them."""
 
     def __init__(self, within_us: int):
         self.within = within_us
 
     def init(self, handle):
         self.handle = handle
-        self.begins = handle.getMapState("begins", "at bigint", "open boolean")
-        self.ends = handle.getMapState("ends", "at bigint", "state string")
+        self.open = handle.getValueState("open", "begins array<bigint>, ends_at array<bigint>, ends array<string>, timer bigint")
 
-    def _timer(self, at):
-        """The first whole millisecond at which `at` plus the bound has passed."""
-        self.handle.registerTimer(-(-(at + self.within) // 1000))
+    def _state(self):
+        begins, ends_at, ends, timer = self.open.get() if self.open.exists() else ([], [], [], None)
+        return set(begins), dict(zip(ends_at, ends, strict=True)), timer
+
+    def _set(self, begins, ends, timer):
+        """Keep what is open; its timer is the first whole millisecond at which the earliest of it plus the bound has passed."""
+        if not begins and not ends:
+            self.open.clear()
+            return
+        wanted = -(-(min([*begins, *ends]) + self.within) // 1000)
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        self.open.update((sorted(begins), list(ends), list(ends.values()), wanted))
 
     def handleInputRows(self, key, rows, timerValues):
+        begins, ends, timer = self._state()
         for row in rows:
             if row.state == "begin":
-                if not self.begins.containsKey((row.at,)):
-                    self.begins.updateValue((row.at,), (True,))
+                begins.add(row.at)
             else:
-                known = self.ends.getValue((row.at,))
-                self.ends.updateValue((row.at,), (min(row.state, known[0]) if known else row.state,))
-            self._timer(row.at)
+                ends[row.at] = min(row.state, ends.get(row.at, row.state))
+        self._set(begins, ends, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = 1000 * max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        begins = sorted(at for (at,) in self.begins.keys())
-        ends = sorted((at, state) for (at,), (state,) in self.ends.iterator())
-        out, left = [], list(begins)
-        for k, at in enumerate(begins):
+        begins, ends, _ = self._state()
+        ordered, times, out = sorted(begins), sorted(ends), []
+        for k, at in enumerate(ordered):
             if at + self.within > mark:
                 break
-            until = begins[k + 1] if k + 1 < len(begins) else None
-            answer = next((e for e in ends if e[0] >= at and e[0] <= at + self.within and (until is None or e[0] < until)), None)
-            out.append(Row(prefix=key[0], pid=key[1], key=key[2], begin_us=at, outcome=answer and answer[1], duration_us=answer and answer[0] - at))
-            self.begins.removeKey((at,))
-            left.remove(at)
-        for at, _ in ends:
-            # No begin from before the watermark can come any more.
-            if at + self.within <= mark and not (left and left[0] <= at):
-                self.ends.removeKey((at,))
+            until = ordered[k + 1] if k + 1 < len(ordered) else None
+            # The first end from the begin on; if that is none of its own, no later one is.
+            n = bisect_left(times, at)
+            end = times[n] if n < len(times) and times[n] <= at + self.within and (until is None or times[n] < until) else None
+            out.append(Row(prefix=key[0], pid=key[1], key=key[2], begin_us=at, outcome=None if end is None else ends[end], duration_us=None if end is None else end - at))
+            begins.remove(at)
+        # No begin from before the watermark can come any more.
+        self._set(begins, {at: state for at, state in ends.items() if at + self.within > mark}, None)
         return iter(out)
 
 
