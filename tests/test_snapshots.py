@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import scale
 from tidemark.functions import classify
 from tidemark.operators import catalog, digests, estate, placement, sketches
+from tidemark.plans import registry
 from tidemark.sinks import archive as sink
 from tidemark.sources import archive as source
 from tidemark.sources import inventory as export
@@ -177,6 +178,21 @@ def test_maintained_footprint_equals_a_full_run(spark, tmp_path, seed):
     assert rows(got.select("prefix_id", "thing", "objects", "bytes", "oldest", "newest")) == rows(full(new).select("prefix_id", "thing", "objects", "bytes", "oldest", "newest"))
 
 
+def test_the_listing_is_made_once(spark, tmp_path, monkeypatch):
+    """Comparing two listings and carrying a footprint on reads what was derived once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(size):
+        made.add(1)
+        return size
+
+    key = F.concat(F.lit("db/wal_005/0000000100000000"), F.lpad(F.hex(F.col("size") % 250), 8, "0"), F.lit(".lzo"))
+    rows_in = listed(spark).withColumn("key", key).withColumn("size", F.udf(seen, "bigint")("size")).withColumn("path_prefix", F.lit("db/"))
+    monkeypatch.setattr(registry.d, "inv_wal", lambda _spark, _sf: rows_in)
+    got = registry.QUERIES["footprint_maintained"][1](spark, str(tmp_path)).collect()
+    assert sum(r.objects for r in got) == 500 and made.value == 500
+
+
 # ---- sketches ------------------------------------------------------------------------------
 
 def test_distinct_keys_of_any_days_within_the_stated_error(spark, tmp_path):

@@ -115,11 +115,13 @@ def maintained_footprint(base: DataFrame, moved: DataFrame, new: DataFrame) -> D
     `moved` are changes with `thing`, old and new size and last_modified; kept rows may be left out. Counts and sums take the difference. The oldest and newest
     time stand unless a row that carried one has left; only such groups are read again from the new listing (classified).
     """
-    gone = moved.where("status in ('removed', 'changed')").select("prefix_id", "thing", F.lit(-1).alias("n"), F.col("old_size").alias("size"), F.col("old_last_modified").alias("left"), F.lit(None).cast("timestamp").alias("come"))
-    come = moved.where("status in ('added', 'changed')").select("prefix_id", "thing", F.lit(1).alias("n"), F.col("new_size").alias("size"), F.lit(None).cast("timestamp").alias("left"), F.col("new_last_modified").alias("come"))
-    delta = gone.unionByName(come).groupBy("prefix_id", "thing").agg(
-        F.sum("n").alias("dn"), F.sum(F.col("n") * F.col("size")).alias("db"),
-        F.min("left").alias("left_lo"), F.max("left").alias("left_hi"), F.min("come").alias("come_lo"), F.max("come").alias("come_hi"),
+    gone, come = F.col("status").isin("removed", "changed"), F.col("status").isin("added", "changed")
+    none = F.lit(0).cast("bigint")
+    delta = moved.groupBy("prefix_id", "thing").agg(
+        F.sum(come.cast("int") - gone.cast("int")).alias("dn"),
+        (F.coalesce(F.sum(F.when(come, F.col("new_size"))), none) - F.coalesce(F.sum(F.when(gone, F.col("old_size"))), none)).alias("db"),
+        F.min(F.when(gone, F.col("old_last_modified"))).alias("left_lo"), F.max(F.when(gone, F.col("old_last_modified"))).alias("left_hi"),
+        F.min(F.when(come, F.col("new_last_modified"))).alias("come_lo"), F.max(F.when(come, F.col("new_last_modified"))).alias("come_hi"),
     )
     both = scale.pin(base.join(delta, ["prefix_id", "thing"], "full"))
     stale = (F.col("left_lo") <= F.col("oldest")) | (F.col("left_hi") >= F.col("newest"))

@@ -510,9 +510,13 @@ def _(spark, sf):
     return estate.shared_prefixes(writers)
 
 
-def _snapshots(spark, sf):
-    """Two listings of the same prefixes: shipped line items by return flag overlap in part."""
+def _snapshots(spark, sf, kept=False):
+    """Two listings of the same prefixes: shipped line items by return flag overlap in part. `kept`: out of a table written once."""
     inv = d.inv_wal(spark, sf)
+    if kept:
+        path = shared_path(spark, "listing")
+        inv.write.parquet(path)
+        inv = spark.read.schema(inv.schema).parquet(path)
     old = inv.where("not endswith(key, '.partial')")
     new = inv.where("not endswith(key, '.tmp')").withColumn(
         "size", F.when(F.col("size") > 40960, F.col("size") + 1).otherwise(F.col("size"))
@@ -537,7 +541,7 @@ def _digests(spark, listed, name):
 
 
 def _moved(spark, sf, carry=()):
-    old, new = _snapshots(spark, sf)
+    old, new = _snapshots(spark, sf, kept=True)
     opened = digests.open_leaves(_digests(spark, old, "old"), _digests(spark, new, "new"))
     return old, new, digests.changes(old, new, opened, compare=("size",), carry=carry)
 
