@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, clashing, table
 from hypothesis import given, settings
@@ -310,3 +311,37 @@ def test_long_bitmaps_leave_every_link_open():
                 linked[[i, j]] = True
     assert linked.any() and found[linked].all() and found.sum() < len(sets)
     assert not jaccard.finely_open(size, [jaccard.fine_bitmap(s) for s in sets], np.zeros(len(sets), int), 85).any()
+
+
+def test_a_sketch_takes_less_than_a_byte_a_counter():
+    counts = np.random.default_rng(5).poisson(1.7, jaccard.BUCKETS // jaccard.SLICES).astype(np.uint32)
+    counts[[0, 7]] = 300, 70_000
+    packed = jaccard.pack_counts(counts)
+    assert jaccard.unpack_counts(packed).tolist() == np.minimum(counts, 0xFFFF).tolist()
+    assert len(packed) < len(counts)
+
+
+def test_parts_that_groups_have_in_common_are_kept_once(spark):
+    """Groups of two pairs each, one pair in both, beside sets that cannot link: three parts are left, not four."""
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(5)]
+    near = [np.unique(np.r_[b[4:], rng.integers(0, 2**63, 4, dtype=np.uint64)]) for b in base]
+    sets = {k: x for k, x in enumerate([x for pair in zip(base, near, strict=True) for x in pair])}
+    members = [(1, k, k) for k in (0, 1, 2, 3, 8)] + [(2, k, k) for k in (0, 1, 4, 5, 6)]
+    rows = spark.createDataFrame(members, "gid bigint, class bigint, label bigint")
+    for fine in (False, True):
+        bits = [(k, len(x), jaccard.fine_bitmap(x) if fine else jaccard.bitmap(x).tobytes()) for k, x in sets.items()]
+        facts = spark.createDataFrame(bits, "class bigint, n int, bits binary")
+        left = jaccard.still_open(rows, facts, 85, fine=fine).collect()
+        parts = {}
+        for r in left:
+            parts.setdefault(r["gid"], set()).add(r["class"])
+        assert sorted(map(sorted, parts.values())) == [[0, 1], [2, 3], [4, 5]]
+        assert len(left) == 6
+
+
+def test_runs_of_several_rows_across_batches():
+    keys = [[1, 2, 2, 3, 4], [4, 5, 6], [6], [6, 7, 8, 8], [9]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], ["key"]) for k in keys]
+    got = {int(key): sum(b - a for _batch, a, b in parts) for key, parts in jaccard._runs(batches, "key", single=False)}
+    assert {k: n for k, n in got.items() if n > 1} == {2: 2, 4: 2, 6: 3, 8: 2}

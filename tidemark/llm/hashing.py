@@ -11,7 +11,8 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUP_BYTES = 1 << 20
+#: What a group takes in memory is some forty times its bytes.
+GROUP_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

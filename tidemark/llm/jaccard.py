@@ -13,7 +13,7 @@ Documents with the same set of shingles form a class; everything below works on
    already. Pairs of leaves are verified on the sets themselves.
    Every class is first compared in the largest of its groups; then only groups that still hold more than one
    component are taken up again. So a large set of near copies costs about one
-   comparison per copy, while no link between components can be missed. What is taken up again is
+   comparison per copy, while no link between components can be missed. Both times members are
    pruned twice, by short bitmaps of fixed length and then by long ones of FINE bits per shingle, before sets travel.
 3. Components of the links that connect (a spanning forest per group) by distributed star operations.
 
@@ -30,6 +30,7 @@ size; an empty table gives no rows; other columns are ignored.
 
 import hashlib
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +68,12 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def described(rows: DataFrame, words: int) -> DataFrame:
-    """row_id, doc_id, class, n, bits of every document, and in rows of their own (slice, at, add) what each task adds to the sketch."""
+    """row_id, doc_id, class, n, bits of every document, and in rows of their own (slice, counts) what each task adds to the sketch."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         counts, seen, doc_type = np.zeros(BUCKETS, np.uint32), set(), None
-        names = ["row_id", "doc_id", "class", "n", "bits", "slice", "at", "add"]
+        names = ["row_id", "doc_id", "class", "n", "bits", "slice", "counts"]
         for batch, ks, sets in _sets(batches, words):
             ids = [class_of(s) for s in sets]
             for c, s in zip(ids, sets, strict=True):
@@ -85,21 +86,26 @@ def described(rows: DataFrame, words: int) -> DataFrame:
             n, take = len(ks), pa.array(ks)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id").take(take), batch.column("doc_id").take(take), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                 pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if doc_type is None or not counts.any():
             return
         part = BUCKETS // SLICES
-        at, add = [], []
-        for k in range(SLICES):
-            c = counts[k * part : (k + 1) * part]
-            some = np.flatnonzero(c)
-            at.append(some.astype("<u2").tobytes())
-            add.append(np.minimum(c[some], 0xFFFF).astype("<u2").tobytes())
+        packed = [pack_counts(counts[k * part : (k + 1) * part]) for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, doc_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()),
-             pa.array(range(SLICES), pa.int32()), pa.array(at, pa.binary()), pa.array(add, pa.binary())], names)
+             pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return rows.mapInArrow(run, f"row_id bigint, doc_id {kind}, class bigint, n int, bits binary, slice int, at binary, add binary")
+    return rows.mapInArrow(run, f"row_id bigint, doc_id {kind}, class bigint, n int, bits binary, slice int, counts binary")
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counters, 65535 at most, as a plane of low and one of high bytes: most are small, so they take a few bits each."""
+    return zlib.compress(np.minimum(counts, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).astype(np.int64)
+    return low + 256 * high
 
 
 def rarity(sketch: DataFrame) -> np.ndarray:
@@ -109,8 +115,8 @@ def rarity(sketch: DataFrame) -> np.ndarray:
     def add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, np.int64)
         for batch in batches:
-            for at, add in zip(batch.column("at"), batch.column("add"), strict=True):
-                total[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(add.as_py(), "<u2")
+            for counts in batch.column("counts"):
+                total += unpack_counts(counts.as_py())
         level = np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "level"])
 
@@ -164,15 +170,21 @@ def mix_order(s):
     return hashing.mix(s ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _runs(batches, key):
-    """Complete runs of equal `key` in sorted batches, cut into blocks: (batches joined, first row, end row, block number, last block)."""
+def _runs(batches, key, single=True):
+    """Complete runs of equal `key` in sorted batches: the key and its (batch, first row, end row). Without `single`, most runs of one row are left out at once."""
     held, held_key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
+        ends = np.r_[cuts[1:], len(keys)]
+        if not single:
+            # the first and the last run may go on in other batches
+            some = ends - cuts > 1
+            some[[0, -1]] = True
+            cuts, ends = cuts[some], ends[some]
+        for a, b in zip(cuts, ends, strict=True):
             if held and keys[a] != held_key:
                 yield held_key, held
                 held = []
@@ -187,6 +199,14 @@ def _between(cuts, end, start=0):
     return list(zip(at[:-1], at[1:], strict=True))
 
 
+def part_ids(members: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each of the classes `members` a number that names the set of all those of its part."""
+    _, at, size = np.unique(part, return_inverse=True, return_counts=True)
+    total = np.zeros(len(size), np.uint64)
+    np.add.at(total, at, hashing.mix(members.view(np.uint64)))
+    return hashing.mix(total + size.astype(np.uint64)).view(np.int64)[at]
+
+
 def candidate_groups(prefix: DataFrame, percent: int) -> DataFrame:
     """gid, token, block, class, n: the classes that share a prefix shingle, in blocks of bounded size; a gid names a set of members."""
 
@@ -195,8 +215,7 @@ def candidate_groups(prefix: DataFrame, percent: int) -> DataFrame:
         held = 0
 
         def add(token, block, members, n):
-            gid = hashing.mix(hashing.mix(members.view(np.uint64)).sum(dtype=np.uint64).reshape(1) + np.uint64(len(members))).view(np.int64)
-            for k, v in (("gid", np.repeat(gid, len(members))), ("token", np.full(len(members), token)), ("block", np.full(len(members), block, np.int32)), ("class", members), ("n", n)):
+            for k, v in (("gid", part_ids(members, np.zeros(len(members), int))), ("token", np.full(len(members), token)), ("block", np.full(len(members), block, np.int32)), ("class", members), ("n", n)):
                 out[k].append(v)
 
         def flush():
@@ -205,7 +224,7 @@ def candidate_groups(prefix: DataFrame, percent: int) -> DataFrame:
                 out[k] = []
             return batch
 
-        for token, parts in _runs(batches, "token"):
+        for token, parts in _runs(batches, "token", single=False):
             if len(parts) == 1 and parts[0][2] - parts[0][1] == 1:
                 continue
             c = np.concatenate([p.column("class").to_numpy()[a:b] for p, a, b in parts])
@@ -291,8 +310,14 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def open_members(size, bits, label, percent) -> np.ndarray:
-    """Which sets, ordered by size, have a partner of another label that sizes and bitmaps allow."""
+def _merge(part, i, js):
+    """`part` numbers what hangs together; i and the js do."""
+    if part is not None and (part[js] != part[i]).any():
+        part[np.isin(part, part[js])] = part[i]
+
+
+def open_members(size, bits, label, percent, part=None) -> np.ndarray:
+    """Which sets, ordered by size, have a partner of another label that sizes and bitmaps allow. In `part`, if given, partners get one number."""
     tree, found = Tree(size, bits, percent), np.zeros(len(size), bool)
     for a, b, c, d in tree.leaves(_alike(label)):
         for i in range(a, b):
@@ -300,6 +325,7 @@ def open_members(size, bits, label, percent) -> np.ndarray:
             js = tree.open_pairs(i, js[label[js] != label[i]])
             found[js] = True
             found[i] |= len(js) > 0
+            _merge(part, i, js)
     return found
 
 
@@ -317,7 +343,7 @@ def _folded(raw: bytes, length: int) -> np.ndarray:
     return (bits if len(bits) == length else bits[:length] | bits[length:]).view(np.uint64)
 
 
-def finely_open(size, raw, label, percent) -> np.ndarray:
+def finely_open(size, raw, label, percent, part=None) -> np.ndarray:
     """As `open_members`, by bitmaps of each set's own length.
 
     Sets that can link differ little in size, so their lengths are equal or differ by a factor of two. Each length has a
@@ -335,6 +361,7 @@ def finely_open(size, raw, label, percent) -> np.ndarray:
                 js = tree.open_pairs(i, js) if len(js) else js
                 found[near[js]] = True
                 found[near[i]] |= len(js) > 0
+                _merge(part, near[i], near[js])
     return found
 
 
@@ -376,22 +403,29 @@ def _with_facts(members: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, described_classes: DataFrame, percent: int, fine=False) -> DataFrame:
-    """The rows gid, class, label of `members` that the bitmaps (class, n, bits; `fine`: of any length) do not rule out."""
+    """The rows gid, class, label of `members` that the bitmaps (class, n, bits; `fine`: of any length) do not rule out.
+
+    What is left of a group falls into parts without possible links between them. A gid names the members of a part, so parts that
+    several groups have in common are kept once.
+    """
 
     def run(batches):
         out, names = ([], [], []), ["gid", "class", "label"]
-        for gid, parts in _runs(batches, "gid"):
+        for _gid, parts in _runs(batches, "gid"):
             label = np.concatenate([p.column("label").to_numpy()[a:b] for p, a, b in parts])
             c = np.concatenate([p.column("class").to_numpy()[a:b] for p, a, b in parts])
             n = np.concatenate([p.column("n").to_numpy()[a:b] for p, a, b in parts]).astype(np.int64)
             raw = [x.as_py() for p, a, b in parts for x in p.column("bits").slice(a, b - a)]
-            order = np.lexsort((c, n))
+            order, part = np.lexsort((c, n)), np.arange(len(c))
             if fine:
-                kept = order[finely_open(n[order], [raw[k] for k in order], label[order], percent)]
+                found = finely_open(n[order], [raw[k] for k in order], label[order], percent, part)
             else:
                 bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(c), -1)
-                kept = order[open_members(n[order], bits[order], label[order], percent)]
-            for x, v in zip(out, (np.full(len(kept), gid), c[kept], label[kept]), strict=True):
+                found = open_members(n[order], bits[order], label[order], percent, part)
+            kept = order[found]
+            if not len(kept):
+                continue
+            for x, v in zip(out, (part_ids(c[kept], part[found]), c[kept], label[kept]), strict=True):
                 x.append(v)
             if len(out[0]) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
@@ -400,7 +434,7 @@ def still_open(members: DataFrame, described_classes: DataFrame, percent: int, f
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
     rows = _with_facts(members, described_classes).select("gid", "class", "label", "n", "bits")
-    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "gid bigint, class bigint, label bigint")
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "gid bigint, class bigint, label bigint").distinct()
 
 
 def verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -449,14 +483,12 @@ def set_table(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return join_rows(rows, wanted).select("text").mapInArrow(run, "class bigint, tokens binary")
 
 
-
-
 def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc_id", text="text"):
     """(documents: row_id, doc_id, class, n; links: a, b between classes, a spanning forest of all links)."""
     rows = stable_rows(docs, doc_id, text).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
     both = scale.pin(described(rows, words))
     found = both.where("slice is null").select("row_id", "doc_id", "class", "n")
-    levels = rarity(both.where("slice is not null").select("slice", "at", "add"))
+    levels = rarity(both.where("slice is not null").select("slice", "counts"))
     groups = scale.pin(candidate_groups(prefixes(rows.select("text"), words, percent, levels), percent))
     small = groups.where("block < 0").select("gid", "class").distinct()
     blocks = groups.where("block >= 0").select("token", "block", "gid", "class", "n")
@@ -470,7 +502,9 @@ def classes_and_links(docs: DataFrame, words=WORDS, percent=PERCENT, doc_id="doc
     first = scale.pin(first)
     wanted = found.where("n > 0").join(first.unionByName(blocks.select("class", "gid", F.col("class").alias("label"))).select("class"), "class", "left_semi")
     sets = scale.pin(set_table(rows.select("row_id", "text"), wanted.groupBy("class").agg(F.min("row_id").alias("row_id")).select("row_id"), words))
-    links = scale.pin(verified(first, sets, percent))
+    # sets of long texts fill the short bitmaps; the long ones are a byte a shingle against the eight that a set takes
+    near = scale.pin(still_open(first, fine_facts(sets, first), percent, fine=True))
+    links = scale.pin(verified(near, sets, percent))
     label = scale.pin(components(links).select(F.col("node").alias("class"), "root"))
     again = _labelled(members.drop("label"), label)
     open_groups = again.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid")
