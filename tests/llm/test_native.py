@@ -272,6 +272,47 @@ def test_lines_against_all_pairs(spark, tmp_path):
     assert linked > 5 and got == {i: int(root[i] != i) for i, _t in rows}
 
 
+def test_lines_in_small_and_large_keys(spark, tmp_path, monkeypatch):
+    """Whether the lines of a key give all pairs or are compared with one first, the same lines go; pairs are written once, not once a key."""
+    r = random.Random(8)
+    rows = []
+    for _group in range(6):
+        words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(60)]
+        for _ in range(7):
+            words[r.randrange(60)] = "".join(r.choices("abcdefgh", k=5))
+            rows.append((len(rows), " ".join(words)))
+    docs, pinned, pin = table(spark, rows, tmp_path / "d"), [], lines.scale.pin
+
+    def seen(df):
+        out = pin(df)
+        if "other" in out.columns:
+            pinned.append(out.where("key is null").select("line", "other").collect())
+        return out
+
+    monkeypatch.setattr(lines.scale, "pin", seen)
+    got = []
+    for few in (64, 2, 1):
+        monkeypatch.setattr(lines, "FEW", few)
+        got.append(sorted((x.doc_id, x.n_removed, x.kept_sha256) for x in lines.report(docs).collect()))
+    assert got[0] == got[1] == got[2] and sum(x[1] for x in got[0]) > 6
+    assert len(pinned[0]) == len(set(pinned[0])) > 6 and not pinned[2]
+
+
+def test_simhash_of_lines_of_any_length(spark):
+    sizes = [1, 2, 3, 126, 127, 128, 255, 1000, lines.WIDE_WORDS - 100, lines.WIDE_WORDS + 1000]
+    words = spark.createDataFrame([(n, step) for n in sizes for step in (1, 3, 977)], "n int, step int")
+    words = words.withColumn("w", F.expr("transform(sequence(1, n), i -> cast(i * 31L % step as string))"))
+    for x in words.select("w", F.expr("transform(w, x -> xxhash64(x))").alias("h"), lines.simhash(F.col("w")).alias("sim")).collect():
+        want = sum(1 << i for i in range(64) if sum(h >> i & 1 for h in x.h) * 2 > len(x.h))
+        assert x.sim % (1 << 64) == want
+
+
+def test_normalised_lines_of_ascii_and_others(spark):
+    texts = ["A-1 b.22,  c", "Ünder 42\u0663 x", "  \t ", "", "9", "a_b{c}`~@[", "\x00\x7fz", "É9 É"]
+    got = [x.norm for x in spark.createDataFrame([(t,) for t in texts], "line string").select(lines.normalised(F.col("line")).alias("norm")).collect()]
+    assert got == ["a 0 b 00 c", "Ünder 000 x", "", "", "0", "a b c", "z", "É0 É"]
+
+
 # ------------------------------------------------------------------ row identity
 
 
