@@ -307,6 +307,40 @@ def test_simhash_of_lines_of_any_length(spark):
         assert x.sim % (1 << 64) == want
 
 
+def test_simhash_of_lines_runs_in_generated_code(spark):
+    """The words of a table of lines are added up in rows of CHUNK words, not by functions of arrays, with the bits of `simhash`."""
+    sizes = [1, 2, 3, 15, 16, 17, 31, 32, 33, 127, 500, 3000]
+    rows = spark.createDataFrame([(n, step) for n in sizes for step in (1, 3, 977)] + [(5, 1)] * 2, "n int, step int")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.expr("transform(sequence(1, n), i -> cast(i * 31L % step as string))").alias("words"))
+    rows = lines.scale.pin(rows)
+    got = lines.with_sims(rows)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = {x.row: (x.n, x.sim) for x in got.collect()}
+    want = {x.row: (len(x.words), x.sim) for x in rows.select("row", "words", lines.simhash(F.col("words")).alias("sim")).collect()}
+    assert got == want and len(want) == rows.count()
+
+
+def test_lines_of_more_words_than_lanes_hold(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(90)]
+    docs = table(spark, [(1, " ".join(words)), (2, " ".join(words[:-1]) + "\nshort"), (3, "short"), (4, " ".join(reversed(words)))], tmp_path / "d")
+    got = []
+    for most in (32767, 60):
+        monkeypatch.setattr(lines, "WIDE_WORDS", most)
+        got.append(sorted((x.doc_id, x.n_lines, x.n_removed) for x in lines.report(docs).collect()))
+    assert got[0] == got[1] == [(1, 1, 0), (2, 2, 1), (3, 1, 1), (4, 1, 0)]
+
+
+def test_normalised_lines_by_category_and_by_pattern(spark):
+    """One pass by category and the patterns give the same words, whatever letters and numbers a line holds."""
+    texts = ["ÉCOLE 12", "\u01c5a b", "x\u00aay \u00bd\u2167", "漢字 A1", "\U0001d400\U0001f642b \U0001d7d8", "a\u0301b", "Ⓐ I i", "A\u00a0B\u2019c", "İI ıi", "\u0663\u0660", "\U0001f642"]
+    line = F.col("line")
+    low = F.translate(line, text.UPPER, text.UPPER.lower())
+    want = F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), r"\p{N}", "0"))
+    for x in spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.normalised(line).alias("got"), want.alias("want")).collect():
+        assert x.got == x.want, x.line
+
+
 def test_normalised_lines_of_ascii_and_others(spark):
     texts = ["A-1 b.22,  c", "Ünder 42\u0663 x", "  \t ", "", "9", "a_b{c}`~@[", "\x00\x7fz", "É9 É"]
     got = [x.norm for x in spark.createDataFrame([(t,) for t in texts], "line string").select(lines.normalised(F.col("line")).alias("norm")).collect()]
